@@ -67,5 +67,7 @@ def bounded_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20
 
 
 def string_array(array: pa.Array) -> pa.Array:
-    """Nulls become empty texts; one plain string array starting at offset zero."""
+    """Nulls become empty texts; a copy that starts at offset zero, as some string kernels misread slices."""
+    if array.offset:
+        array = pa.concat_arrays([array, pa.array([], array.type)])
     return pc.fill_null(array.cast(pa.large_string()), "")

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialise
+from .common import bounded_slices, materialise, string_array
 from .lattice import Lattice, load_pieces
 from .lm_scoring import count_words, piece_totals, smoothed, words_of
 
@@ -53,7 +53,7 @@ def fit(docs: DataFrame, training: Column, model_path: str, *, lang_col: str = "
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, docs_per_language / counts[lang])])[F.col("lang")]
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003
     sample = rows.filter(drawn).select("text", model.alias("m"))
-    words = sample.mapInArrow(count_words(["m"]), "word string, m long, n long").groupBy("word", "m").agg(F.sum("n").alias("n"))
+    words = sample.mapInArrow(count_words("m"), "word string, m long, n long").groupBy("word", "m").agg(F.sum("n").alias("n"))
     words = materialise(words, "language-words")
     logp = None
     for _ in range(passes + 1):
@@ -64,8 +64,8 @@ def fit(docs: DataFrame, training: Column, model_path: str, *, lang_col: str = "
 
 def _predict(model: LanguageModel, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The number of the best language (-1: none) and its posterior, for each text."""
-    plain = text.cast(pa.large_string())
-    lettered = pc.fill_null(pc.match_substring_regex(plain, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    plain = string_array(text)
+    lettered = pc.match_substring_regex(plain, r"\p{L}").to_numpy(zero_copy_only=False)
     if not model.languages:
         return np.full(len(plain), -1), np.zeros(len(plain))
     words, parent = words_of(plain)

@@ -45,35 +45,40 @@ def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(keep), parent.filter(keep).to_numpy()
 
 
-def count_words(groups: list[str], most_words: int = 500_000):
-    """For mapInArrow over (text, group columns...): the words' counts, each group's apart, summed in the task first."""
+def count_words(group: str, most_words: int = 500_000):
+    """For mapInArrow over (text, a long group column): words' counts in each group, summed in the task first."""
+
+    def summed(words: pa.ChunkedArray, groups: np.ndarray, n: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        coded = words.combine_chunks().dictionary_encode()
+        width = int(groups.max()) + 1 if len(groups) else 1
+        pair, place = np.unique(coded.indices.to_numpy().astype(np.int64) * width + groups, return_inverse=True)
+        return coded.dictionary.take(pa.array(pair // width)), pair % width, np.bincount(place, weights=n).astype(np.int64)
+
+    def rows(words: pa.Array, groups: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(words), 20_000):
+            yield pa.RecordBatch.from_arrays([words.slice(i, 20_000).cast(pa.string()), pa.array(groups[i : i + 20_000]), pa.array(n[i : i + 20_000])], ["word", group, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+
+        def merge() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+            words, groups, n = zip(*held, strict=True)
+            return summed(pa.chunked_array(words), np.concatenate(groups), np.concatenate(n))
+
         for batch in batches:
             for part in bounded_slices(batch, "text"):
                 words, parent = words_of(part.column("text"))
-                cols = {"word": words} | {g: part.column(g).take(pa.array(parent)) for g in groups}
-                held.append(_summed(pa.table(cols | {"n": pa.array(np.ones(len(parent), dtype=np.int64))}), groups))
-                if sum(map(len, held)) > most_words:
-                    held = [_summed(pa.concat_tables(held), groups)]
-                    if len(held[0]) > most_words // 2:
-                        yield from _as_strings(held.pop())
+                held.append(summed(pa.chunked_array([words]), part.column(group).to_numpy()[parent], np.ones(len(parent))))
+                if sum(len(x[0]) for x in held) > most_words:
+                    held[:] = [merge()]
+                    if len(held[0][0]) > most_words // 2:
+                        yield from rows(*held.pop())
         if held:
-            yield from _as_strings(_summed(pa.concat_tables(held), groups))
+            yield from rows(*merge())
 
     return run
 
 
-def _summed(t: pa.Table, groups: list[str]) -> pa.Table:
-    got = t.group_by(["word", *groups]).aggregate([("n", "sum")])
-    return got.select(["word", *groups, "n_sum"]).rename_columns(["word", *groups, "n"])
-
-
-def _as_strings(t: pa.Table) -> list[pa.RecordBatch]:
-    return t.set_column(0, "word", t["word"].cast(pa.string())).combine_chunks().to_batches(max_chunksize=20_000)
-
-
 @dataclass
 class Model:
     """logp: natural log of each piece's score; words: the table (word, n, worth), n uses in training, worth log10 P."""
@@ -122,7 +127,7 @@ def fit(docs: DataFrame, training: Column, model_path: str, *, id_col: str = "do
     lattice = spark.sparkContext.broadcast(Lattice(*load_pieces(model_path)))
     source = docs.select(F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).cast("int").cast("long").alias("train"))
     ends = source.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
-    counted = source.mapInArrow(count_words(["train"]), "word string, train long, n long")
+    counted = source.mapInArrow(count_words("train"), "word string, train long, n long")
     words = materialise(counted.groupBy("word").agg(F.sum(F.col("n") * F.col("train")).alias("n")), "lm-words")
     seen = F.when(F.col("n") > 0, 1)
     tokens, types, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(seen), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()

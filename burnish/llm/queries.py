@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring
+from . import language_id, lm_scoring, simhash, token_output
 from .common import table
 
 
@@ -34,8 +34,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", (id_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_output.read_documents(token_output.write_shards(docs, public_path("word_bpe_49k.json")))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op6_language_id)}
+    return {f.__name__: f for f in (op1_lm_scoring, op6_language_id, op7_token_output, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
