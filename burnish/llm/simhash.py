@@ -46,7 +46,7 @@ def fingerprint_of(text: bytes, words_each: int) -> int:
     for start in range(0, total, CHUNK):
         n = min(CHUNK, total - start)
         hashes = np.fromiter((digest(next(shingles), SEED) for _ in range(n)), dtype=np.uint64, count=n)
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(axis=0)
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
