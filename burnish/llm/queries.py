@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, lm_scoring, simhash, token_output, url_filter, vector_topk
+from . import chat_format, decontaminate, html_text, language_id, lm_scoring, simhash, token_output, url_filter, vector_topk
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(said.union(forged)))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, id_remainder(3) != 1, public_path("piece_bpe_32k.model"))
@@ -52,6 +56,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(token_output.write_shards(docs, public_path("word_bpe_49k.json")))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -62,7 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_vector_topk, op3_chat_format, op6_language_id, op7_token_output, op9_url_filter, op10_simhash)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_vector_topk, op3_chat_format, op4_html_text, op6_language_id, op7_token_output, op8_decontaminate, op9_url_filter, op10_simhash)}
 
 
 OP2_SQL = """
@@ -93,6 +103,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: w[i:i + 9])) AS win FROM b WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT rid, n, unnest(range(1, len(w) - n + 2)) AS pos, w FROM d, lens WHERE len(w) >= n),
+h AS (SELECT dw.rid, dw.pos, dw.n, bw.item_id FROM dw JOIN bw ON bw.n = dw.n AND bw.win = dw.w[dw.pos:dw.pos + dw.n - 1]),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) AS p FROM (SELECT DISTINCT rid, pos, n FROM h)) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM h) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
+
 OP9_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -115,4 +141,4 @@ FROM m WHERE k = 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_vector_topk": OP2_SQL, "op3_chat_format": OP3_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_vector_topk": OP2_SQL, "op3_chat_format": OP3_SQL, "op8_decontaminate": OP8_SQL, "op9_url_filter": OP9_SQL}
