@@ -23,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_slices, materialise, string_array
 
 SEED = 42
 #: Above so many fingerprints to a signature, pairs give way to one-bit neighbours.
-CROWD = 32
+CROWD = 16
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -84,17 +84,18 @@ def _neighbours(fp: Column) -> Column:
 def links(fps: DataFrame, *, differing: int = 2, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that between them connect all that link."""
     indexed = fps.select("fp", F.explode(_signatures(F.col("fp"))).alias("sig"))
-    # Random fingerprints rarely meet: signatures of one fingerprint go before anything is gathered.
-    sizes = indexed.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    shared = materialise(sizes.filter("n > 1"), "simhash-shared")
-    two = shared.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    few = indexed.join(shared.filter((F.col("n") > 2) & (F.col("n") <= crowd)).select("sig"), "sig")
-    met = few.groupBy("sig").agg(F.sort_array(F.collect_list("fp")).alias("group"))
-    pair = F.explode(F.expr("flatten(transform(group, (a, i) -> transform(slice(group, i + 2, size(group)), b -> struct(a, b))))"))
-    some = met.select(pair.alias("p")).select("p.a", "p.b")
-    verified = two.union(some).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= differing)
-    # Members of crowds: found through their signatures again, then linked through shared one-bit neighbours.
-    members = indexed.join(shared.filter(F.col("n") > crowd).select("sig"), "sig").select("fp").distinct()
+    # One shuffle of the index: a signature of one fingerprint only is dropped where it arrives.
+    sharing = F.count("*").over(Window.partitionBy("sig"))
+    shared = materialise(indexed.withColumn("n", sharing).filter("n > 1"), "simhash-shared")
+    met = shared.filter(F.col("n") <= crowd).groupBy("sig").agg(F.sort_array(F.collect_list("fp")).alias("members"))
+    # Pairs are verified in the array, and a pair with an equal segment counts under the segment's first signature alone.
+    pairs = F.expr(f"""
+        flatten(transform(members, (a, i) -> transform(filter(slice(members, i + 2, size(members)), b ->
+            bit_count(a ^ b) <= {int(differing)} AND (((sig >> 32) & 31) = 0 OR ((a ^ b) >> CAST(sig >> 32 AS INT)) & 1 = 1)), b -> struct(a, b))))
+    """)
+    verified = met.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    # Members of crowds: found through their signatures, then linked through shared one-bit neighbours.
+    members = shared.filter(F.col("n") > crowd).select("fp").distinct()
     listed = members.select("fp", F.explode(_neighbours(F.col("fp"))).alias("via"))
     least = listed.groupBy("via").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     starred = listed.join(least, "via").filter("fp <> a").select("a", F.col("fp").alias("b"))
