@@ -102,38 +102,97 @@ class Shard:
 
 
 class Encoder:
-    """Encodes texts by their distinct white-space-separated words, each once for a batch of texts.
+    """Encodes texts by their distinct white-space-separated words; a worker keeps the ids of words it has met.
 
     Right for tokenizers whose pre-tokens never hold ASCII white space and that drop it, like the word-level BPE here.
+    Words go to the library many to a text, between separators of which each is one id that no other word has.
     """
 
-    def __init__(self, tokenizer_json: str, end_id: int):
+    #: Words kept (of KEPT_BYTES at most), and words to a text.
+    KEPT, KEPT_BYTES, TOGETHER = 500_000, 64, 500
+    SEPARATOR = "\x01"
+
+    def __init__(self, tokenizer_json: str, end_id: int, lower: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.end_id = end_id
+        self.end_id, self.lower = end_id, lower
+        found = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
+        self.separator_id = found[0] if len(found) == 1 else None
+        self.kept_words = pa.array([], pa.large_string())
+        self.kept_ids, self.kept_length = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        odd = pc.match_substring(words, self.SEPARATOR).to_numpy(zero_copy_only=False) | (self.separator_id is None)
+        ids: list[np.ndarray] = []
+        lengths = np.zeros(len(words), dtype=np.int64)
+        plain = np.flatnonzero(~odd)
+        listed = words.take(pa.array(plain)).to_pylist()
+        texts = [f" {self.SEPARATOR} ".join(listed[i : i + self.TOGETHER]) + f" {self.SEPARATOR}" for i in range(0, len(listed), self.TOGETHER)]
+        for i in range(0, len(texts), 64):
+            ids += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+        cut = np.flatnonzero(flat == self.separator_id) if len(plain) else np.zeros(0, dtype=np.int64)
+        lengths[plain] = np.diff(cut, prepend=-1) - 1
+        flat = flat[flat != self.separator_id]
+        if odd.any():
+            # Rare words that hold the separator are encoded alone and put in their places.
+            alone = {i: np.array(self.tokenizer.encode(words[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32) for i in np.flatnonzero(odd).tolist()}
+            pieces, at = [], 0
+            for i in range(len(words)):
+                if i in alone:
+                    pieces.append(alone[i])
+                    lengths[i] = len(alone[i])
+                else:
+                    pieces.append(flat[at : at + lengths[i]])
+                    at += lengths[i]
+            flat = np.concatenate(pieces)
+        return flat, lengths
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end id, and the number of ids of each text."""
-        split = pc.ascii_split_whitespace(string_array(text))
-        words, parent = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
-        coded = words.dictionary_encode()
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-        length = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), dtype=np.uint32, count=int(length.sum()))
-        start = np.cumsum(length) - length
-        code = coded.indices.to_numpy()
-        per_word = length[code] if len(code) else np.zeros(0, dtype=np.int64)
+        plain = string_array(text)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(plain) if self.lower else plain)
+        parent = pc.list_parent_indices(split).to_numpy()
+        coded = pc.list_flatten(split).dictionary_encode()
+        words, code = coded.dictionary, coded.indices.to_numpy()
+        found = pc.fill_null(pc.index_in(words, self.kept_words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        fresh = words.take(pa.array(new))
+        ids, length = self._encode_words(fresh)
+        found[new] = len(self.kept_words) + np.arange(len(new))
+        all_ids, all_length = np.concatenate([self.kept_ids, ids]), np.concatenate([self.kept_length, length])
+        start = np.cumsum(all_length) - all_length
+        place = found[code] if len(code) else np.zeros(0, dtype=np.int64)
+        per_word = all_length[place]
         counts = np.bincount(parent, weights=per_word, minlength=len(text)).astype(np.int64) + 1
         out = np.full(int(counts.sum()), self.end_id, dtype=np.uint32)
-        # Where each word's ids go: after all words before it and one end id for each text before its own.
-        to = np.cumsum(per_word) - per_word + parent
-        within = np.arange(int(per_word.sum())) - np.repeat(np.cumsum(per_word) - per_word, per_word)
-        out[np.repeat(to, per_word) + within] = flat[np.repeat(start[code] if len(code) else per_word, per_word) + within]
+        # A word's ids go after all words before it and one end id for each text before its own.
+        to = np.cumsum(per_word) - per_word
+        within = np.arange(int(per_word.sum()), dtype=np.int64)
+        out[within + np.repeat(parent.astype(np.int64), per_word)] = all_ids[within + np.repeat(start[place] - to, per_word)]
+        short = pc.binary_length(fresh).to_numpy() <= self.KEPT_BYTES
+        if len(self.kept_words) < self.KEPT and short.any():
+            self.kept_words = pa.concat_arrays([self.kept_words, fresh.filter(pa.array(short))])
+            self.kept_ids = np.concatenate([self.kept_ids, ids[np.repeat(short, length)]])
+            self.kept_length = np.concatenate([self.kept_length, length[short]])
         return out, counts
 
 
+_ENCODERS: dict[tuple[int, int], Encoder] = {}
+
+
+def _encoder(tokenizer_json: str, end_id: int) -> Encoder:
+    """One for each tokenizer and worker process, so that words met in one task are known in the next."""
+    key = (hash(tokenizer_json), end_id)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(tokenizer_json, end_id)
+    return _ENCODERS[key]
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """The table of shards (SHARD_SCHEMA), written to the shared folder; id_list is the documents' ids as an Arrow column."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -141,7 +200,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_co
     placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id"), F.xxhash64("text")).sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer.value, end_id), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer.value, end_id), TaskContext.get().partitionId()
         names: list[pa.Array] = []
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -162,7 +221,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_co
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "base", "docs", "ids", "id_list", "blob"])
 
         for batch in batches:
-            for piece in bounded_slices(batch, "text", 8 << 20):
+            for piece in bounded_slices(batch, "text", 2 << 20):
                 ids, count = encoder(piece.column("text"))
                 end, start = np.cumsum(count), 0
                 while start < len(count):
