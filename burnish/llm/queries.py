@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_text, language_id, lm_scoring, simhash, token_output, url_filter, vector_topk
+from . import chat_format, decontaminate, html_text, language_id, lm_scoring, mixing, simhash, token_output, url_filter, vector_topk
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, id_remainder(3) != 1, public_path("piece_bpe_32k.model"))
@@ -72,7 +76,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_vector_topk, op3_chat_format, op4_html_text, op6_language_id, op7_token_output, op8_decontaminate, op9_url_filter, op10_simhash)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_vector_topk, op3_chat_format, op4_html_text, op5_mixing, op6_language_id, op7_token_output, op8_decontaminate, op9_url_filter, op10_simhash)}
 
 
 OP2_SQL = """
