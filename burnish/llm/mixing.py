@@ -12,7 +12,7 @@ right.  Every step is one sum over all documents, with as many numbers as domain
 The classifier is fitted on a bounded sample: about LABELLED labelled documents, drawn by a hash of their id (the bound
 is the parameter labelled).  A domain is one of clean, low and toxic: toxic where a label says so, else by quality.
 
-Defined cases: a null or empty text has no tokens, prior posteriors and takes no part in the sums; rows without a
+Defined cases: a null or empty text has no tokens, the posteriors of a text without any telling word, and takes no part in the sums; rows without a
 label never train; several labels of a document count as toxic if any is and as low if any is; without labels the
 posteriors are equal; a domain that no document belongs to stays short of its target; repeated rows are rated row by
 row; an empty table gives an empty result; other columns are ignored (rate) or kept (mixed).
@@ -31,7 +31,7 @@ from .common import ascii_lower, materialise
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
-LABELLED, BUCKETS = 4000, 1 << 14
+LABELLED, BUCKETS = 6000, 1 << 16
 #: A bucket weighs in if that many documents have it and its counts stand out by so many standard errors.
 LEAST_DOCS, STANDS_OUT, SMOOTH = 20, 6.0, 2.0
 STEPS, CLOSE = 40, 1e-4
@@ -39,7 +39,7 @@ STEPS, CLOSE = 40, 1e-4
 
 @dataclass
 class Classifier:
-    """weights[d][b]: log odds of bucket b for domain d; prior: log prior of each domain."""
+    """weights[d][b]: log odds of bucket b for domain d; prior: of each domain, for a document without tokens."""
 
     prior: list[float]
     weights: np.ndarray
@@ -48,7 +48,7 @@ class Classifier:
         """The domains' posteriors as an array, from an array of buckets."""
         logits = []
         for prior, row in zip(self.prior, self.weights, strict=True):
-            image = F.from_json(F.lit("[" + ",".join(f"{x:.3f}" for x in row) + "]"), "array<double>")
+            image = F.from_json(F.lit("[" + ",".join(f"{x:.3g}" for x in row) + "]"), "array<double>")
             logits.append(F.lit(prior) + F.aggregate(tokens, F.lit(0.0), _adder(image)))
         most = F.greatest(*logits)
         raised = [F.exp(x - most) for x in logits]
@@ -92,9 +92,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     # A domain's share of all (document, bucket) pairs, so that long documents of a domain do not speak for it.
     expected = counts.sum(axis=0) * counts.sum(axis=1, keepdims=True) / max(counts.sum(), 1)
     stands_out = (np.abs(counts - expected) / np.sqrt(np.maximum(expected, 0.5)) > STANDS_OUT) & (counts.sum(axis=0) >= LEAST_DOCS)
-    odds = np.log((counts + SMOOTH) / (expected + SMOOTH))
-    weights = np.where(stands_out, odds, 0.0)
-    return Classifier(np.log((sizes + 1) / (sizes.sum() + len(DOMAINS))).tolist(), weights)
+    ratio = (counts + SMOOTH) / (expected + SMOOTH)
+    overall = np.minimum(counts.sum(axis=0) / max(sizes.sum(), 1), 0.95)
+    within = np.minimum(overall * ratio, 0.95)
+    # What a document lacks speaks too: the sum for an empty document goes into the prior.
+    lacking = np.where(stands_out, np.log((1 - within) / (1 - overall)), 0.0)
+    weights = np.where(stands_out, np.log(ratio) - lacking, 0.0)
+    prior = np.log((sizes + 1) / (sizes.sum() + len(DOMAINS))) + lacking.sum(axis=1)
+    return Classifier(prior.tolist(), weights)
 
 
 def classified(docs: DataFrame, classifier: Classifier, *, text_col: str = "text") -> DataFrame:
