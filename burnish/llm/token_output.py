@@ -102,14 +102,14 @@ class Shard:
 
 
 class Encoder:
-    """Encodes texts by their distinct white-space-separated words; a worker keeps the ids of words it has met.
+    """Encodes texts by their distinct white-space-separated words; a task keeps the ids of words it has met.
 
     Right for tokenizers whose pre-tokens never hold ASCII white space and that drop it, like the word-level BPE here.
     Words go to the library many to a text, between separators of which each is one id that no other word has.
     """
 
     #: Words kept (of KEPT_BYTES at most), and words to a text.
-    KEPT, KEPT_BYTES, TOGETHER = 500_000, 64, 500
+    KEPT, KEPT_BYTES, TOGETHER = 300_000, 64, 500
     SEPARATOR = "\x01"
 
     def __init__(self, tokenizer_json: str, end_id: int, lower: bool = True):
@@ -120,8 +120,13 @@ class Encoder:
         self.end_id, self.lower = end_id, lower
         found = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
         self.separator_id = found[0] if len(found) == 1 else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words, so that an idle worker holds no more than the tokenizer."""
         self.kept_words = pa.array([], pa.large_string())
         self.kept_ids, self.kept_length = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        pa.default_memory_pool().release_unused()
 
     def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after the other, and how many each has."""
@@ -185,7 +190,7 @@ _ENCODERS: dict[tuple[int, int], Encoder] = {}
 
 
 def _encoder(tokenizer_json: str, end_id: int) -> Encoder:
-    """One for each tokenizer and worker process, so that words met in one task are known in the next."""
+    """One for each tokenizer and worker process."""
     key = (hash(tokenizer_json), end_id)
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -239,6 +244,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_co
                     start = stop
         if names:
             yield flush()
+        encoder.forget()
 
     return materialise(placed.mapInArrow(run, SHARD_SCHEMA), "token-shards")
 
