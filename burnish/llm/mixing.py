@@ -32,24 +32,30 @@ from .common import ascii_lower, materialise
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
 LABELLED, BUCKETS = 6000, 1 << 16
-#: A bucket weighs in if that many documents have it and its counts stand out by so many standard errors.
-LEAST_DOCS, STANDS_OUT, SMOOTH = 20, 6.0, 2.0
+#: A bucket weighs in if that many documents have it and its counts stand out by so many standard errors; the most telling do.
+LEAST_DOCS, STANDS_OUT, SMOOTH, MOST_TELLING = 20, 6.0, 2.0, 512
 STEPS, CLOSE = 40, 1e-4
 
 
 @dataclass
 class Classifier:
-    """weights[d][b]: log odds of bucket b for domain d; prior: of each domain, for a document without tokens."""
+    """buckets: those that tell, MOST_TELLING of them at most; weights: log odds, domains by these buckets.
+
+    prior: of each domain, for a document without any of them.
+    """
 
     prior: list[float]
+    buckets: list[int]
     weights: np.ndarray
 
-    def posteriors(self, tokens: Column) -> Column:
-        """The domains' posteriors as an array, from an array of buckets."""
-        logits = []
-        for prior, row in zip(self.prior, self.weights, strict=True):
-            image = F.from_json(F.lit("[" + ",".join(f"{x:.3g}" for x in row) + "]"), "array<double>")
-            logits.append(F.lit(prior) + F.aggregate(tokens, F.lit(0.0), _adder(image)))
+    def telling(self, tokens: Column) -> Column:
+        """The distinct telling buckets of an array of tokens, as places in buckets."""
+        found = F.array_distinct(F.filter(buckets_of(tokens), lambda b: b.isin(self.buckets)))
+        return F.transform(found, lambda b: F.array_position(_array(self.buckets, "int"), b).cast("int") - 1)
+
+    def posteriors(self, telling: Column) -> Column:
+        """The domains' posteriors as an array."""
+        logits = [F.lit(prior) + F.aggregate(telling, F.lit(0.0), _adder(_array([round(float(x), 4) for x in row], "double"))) for prior, row in zip(self.prior, self.weights, strict=True)]
         most = F.greatest(*logits)
         raised = [F.exp(x - most) for x in logits]
         total = raised[0]
@@ -58,32 +64,36 @@ class Classifier:
         return F.array(*[x / total for x in raised])
 
 
-def _adder(image: Column):
-    return lambda sum_, bucket: sum_ + F.get(image, bucket)
+def _array(values: list, kind: str) -> Column:
+    """A literal array, read once by the optimizer."""
+    return F.from_json(F.lit(str(values)), f"array<{kind}>")
+
+
+def _adder(weights: Column):
+    return lambda sum_, place: sum_ + F.get(weights, place)
 
 
 def tokens_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def buckets_of(tokens: Column, buckets: int) -> Column:
-    """The distinct buckets of tokens: a document counts once for each."""
-    return F.array_distinct(F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+def buckets_of(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, buckets: int = BUCKETS) -> Classifier:
+def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> Classifier:
     """From documents and labels (id, quality, toxic)."""
     domain = F.when(F.max("toxic") > 0, F.lit(2)).when(F.min("quality") < 1, F.lit(1)).otherwise(F.lit(0))
     named = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(domain.alias("domain"))
     known = named.count()
     if not known:
-        return Classifier([0.0] * len(DOMAINS), np.zeros((len(DOMAINS), buckets)))
+        return Classifier([0.0] * len(DOMAINS), [-1], np.zeros((len(DOMAINS), 1)))
     share = min(1.0, labelled / known)
     drawn = named.filter(F.pmod(F.xxhash64("_label_id"), F.lit(1_000_003)) < share * 1_000_003)
     # The sample is bounded by labelled, so it is small enough to send to every executor.
     seen = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "_label_id").dropDuplicates(["text"])  # copies say nothing new
-    tokens = seen.select("domain", F.explode(buckets_of(tokens_of(F.col("text")), buckets)).alias("b"))
-    counts = np.zeros((len(DOMAINS), buckets))
+    tokens = seen.select("domain", F.explode(F.array_distinct(buckets_of(tokens_of(F.col("text"))))).alias("b"))
+    counts = np.zeros((len(DOMAINS), BUCKETS))
     for d, b, n in tokens.groupBy("domain", "b").count().collect():
         counts[d, b] = n
     sizes = np.zeros(len(DOMAINS))
@@ -91,7 +101,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
         sizes[d] = n
     # A domain's share of all (document, bucket) pairs, so that long documents of a domain do not speak for it.
     expected = counts.sum(axis=0) * counts.sum(axis=1, keepdims=True) / max(counts.sum(), 1)
-    stands_out = (np.abs(counts - expected) / np.sqrt(np.maximum(expected, 0.5)) > STANDS_OUT) & (counts.sum(axis=0) >= LEAST_DOCS)
+    errors_off = np.abs(counts - expected) / np.sqrt(np.maximum(expected, 0.5))
+    stands_out = (errors_off > STANDS_OUT) & (counts.sum(axis=0) >= LEAST_DOCS)
+    telling = np.flatnonzero(stands_out.any(axis=0))
+    telling = np.sort(telling[np.argsort(-errors_off[:, telling].max(axis=0), kind="stable")][:MOST_TELLING])
+    counts, expected, stands_out = counts[:, telling], expected[:, telling], stands_out[:, telling]
     ratio = (counts + SMOOTH) / (expected + SMOOTH)
     overall = np.minimum(counts.sum(axis=0) / max(sizes.sum(), 1), 0.95)
     within = np.minimum(overall * ratio, 0.95)
@@ -99,14 +113,16 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     lacking = np.where(stands_out, np.log((1 - within) / (1 - overall)), 0.0)
     weights = np.where(stands_out, np.log(ratio) - lacking, 0.0)
     prior = np.log((sizes + 1) / (sizes.sum() + len(DOMAINS))) + lacking.sum(axis=1)
-    return Classifier(prior.tolist(), weights)
+    if not len(telling):
+        return Classifier(prior.tolist(), [-1], np.zeros((len(DOMAINS), 1)))
+    return Classifier(prior.tolist(), telling.tolist(), weights)
 
 
 def classified(docs: DataFrame, classifier: Classifier, *, text_col: str = "text") -> DataFrame:
-    """docs with _mix_tokens and _mix_domains (posteriors), written to the shared folder."""
-    tokens = docs.withColumn("_mix_words", tokens_of(F.col(text_col)))
-    tokens = tokens.withColumn("_mix_tokens", F.size("_mix_words").cast("long")).withColumn("_mix_words", buckets_of(F.col("_mix_words"), classifier.weights.shape[1]))
-    return tokens.withColumn("_mix_domains", classifier.posteriors(F.col("_mix_words"))).drop("_mix_words")
+    """docs with _mix_tokens and _mix_domains (posteriors)."""
+    words = docs.withColumn("_mix_words", tokens_of(F.col(text_col)))
+    told = words.withColumn("_mix_tokens", F.size("_mix_words").cast("long")).withColumn("_mix_words", classifier.telling(F.col("_mix_words")))
+    return told.withColumn("_mix_domains", classifier.posteriors(F.col("_mix_words"))).drop("_mix_words")
 
 
 def fit_rates(rows: DataFrame, targets: Mapping[str, float] = TARGETS, *, steps: int = STEPS, close: float = CLOSE) -> Column:
