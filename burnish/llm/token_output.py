@@ -21,6 +21,7 @@ first; an empty table gives no shards; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -113,6 +114,8 @@ class Encoder:
     SEPARATOR = "\x01"
 
     def __init__(self, tokenizer_json: str, end_id: int, lower: bool = True):
+        # Tasks already use all cores; threads within one only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
