@@ -101,6 +101,7 @@ def _short_postings(source: DataFrame, length: int) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, columns as they are, whose id has no hit."""
-    leaked = contamination(docs, benchmark, id_col=id_col, text_col=text_col).filter("n_hit > 0").select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(leaked, docs[id_col].eqNullSafe(F.col("_leaked")), "left_anti")
+    """The rows of docs, columns as they are, without a hit.  Rows are told apart by id and text, not by id alone."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    leaked = contamination(docs.select(key.alias("_leak_key"), text_col), benchmark, id_col="_leak_key", text_col=text_col).filter("n_hit > 0")
+    return docs.join(leaked.select("_leak_key").distinct(), key == F.col("_leak_key"), "left_anti")

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bounded_slices, materialise, string_array
 
@@ -50,18 +51,17 @@ def fingerprint_of(text: bytes, words_each: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3) -> DataFrame:
-    """The id and the signed 64-bit fingerprint fp of each row."""
+def fingerprinted(rows: DataFrame, *, text_col: str, words_each: int = 3, name: str = "_simhash_fp") -> DataFrame:
+    """rows with one more column, the signed 64-bit fingerprint of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded_slices(batch, "text"):
-                texts = string_array(part.column("text")).cast(pa.large_binary())
+            for part in bounded_slices(batch, text_col):
+                texts = string_array(part.column(text_col)).cast(pa.large_binary())
                 got = np.array([fingerprint_of(t.as_py(), words_each) for t in texts], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(got)], [id_col, "fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], [*part.schema.names, name])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, fp long")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, LongType())]))
 
 
 def _signatures(fp: Column) -> Column:
@@ -126,22 +126,32 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def classes(fps: DataFrame, *, differing: int = 2, crowd: int = CROWD) -> DataFrame:
+    """(fp, root) for each value of fps (fp, distinct): equal roots for linked fingerprints."""
+    roots = components(links(fps.select("fp"), differing=differing, crowd=crowd))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, differing: int = 2, crowd: int = CROWD) -> DataFrame:
     """The id, fp and component_id (smallest id of the class) of each row."""
-    marked = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, words_each=words_each), "simhash-fp")
-    distinct = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), differing=differing, crowd=crowd))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(classes, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = materialise(fingerprinted(source, text_col="text", words_each=words_each, name="fp").drop("text"), "simhash-fp")
+    distinct = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    rooted = distinct.join(classes(distinct.select("fp"), differing=differing, crowd=crowd), "fp")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root").select("fp", "component_id")
+    return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, columns as they are, less all rows of a class but the one with its smallest id.
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, differing: int = 2, crowd: int = CROWD) -> DataFrame:
+    """One row of each class, columns as they are: a row with the class's smallest id, null ids after all others.
 
-    Rows that repeat the smallest id repeat the document: the first by text stays.  Null ids count after all others.
+    Of rows that share that id and a fingerprint, repeats of the document, any one stays.
     """
-    keyed = near_duplicates(docs, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_class")).filter("_id <=> _class").distinct()
-    kept = docs.join(keyed.select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    rows = materialise(fingerprinted(docs, text_col=text_col, words_each=words_each), "simhash-docs")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_simhash_fp").alias("fp"))
+    distinct = materialise(rows.groupBy(F.col("_simhash_fp").alias("fp")).agg(F.min(order).alias("first")), "simhash-first")
+    rooted = distinct.join(classes(distinct.select("fp"), differing=differing, crowd=crowd), "fp")
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_simhash_id"), F.col("first.fp").alias("_simhash_fp"))
+    same = rows[id_col].eqNullSafe(chosen["_simhash_id"]) & (rows["_simhash_fp"] == chosen["_simhash_fp"])
+    return rows.join(chosen, same, "left_semi").dropDuplicates([id_col, "_simhash_fp"]).drop("_simhash_fp")

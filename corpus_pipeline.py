@@ -38,7 +38,8 @@ def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of what is left, and each document's place in them as read back."""
-    return token_output.read_documents(token_output.write_shards(docs, public_path("word_bpe_49k.json")))
+    shards = token_output.write_shards(docs, public_path("word_bpe_49k.json"))
+    return token_output.read_documents(shards, id_type=docs.schema["doc_id"].dataType.simpleString())
 
 
 STAGES = [
