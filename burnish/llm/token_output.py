@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialise, string_array
+from .common import bounded_slices, materialise, string_array, tidied
 
 MAGIC = b"EFT1"
 HEAD = struct.Struct("<4sBBHQQQQQ")
@@ -110,7 +110,7 @@ class Encoder:
     """
 
     #: Words kept (of KEPT_BYTES at most), and words to a text.
-    KEPT, KEPT_BYTES, TOGETHER = 300_000, 64, 500
+    KEPT, KEPT_BYTES, TOGETHER = 400_000, 64, 500
     SEPARATOR = "\x01"
 
     def __init__(self, tokenizer_json: str, end_id: int, lower: bool = True):
@@ -129,7 +129,6 @@ class Encoder:
         """Drop the words, so that an idle worker holds no more than the tokenizer."""
         self.kept_words = pa.array([], pa.large_string())
         self.kept_ids, self.kept_length = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        pa.default_memory_pool().release_unused()
 
     def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after the other, and how many each has."""
@@ -229,7 +228,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_co
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "base", "docs", "ids", "id_list", "blob"])
 
         for batch in batches:
-            for piece in bounded_slices(batch, "text", 2 << 20):
+            for piece in bounded_slices(batch, "text"):
                 ids, count = encoder(piece.column("text"))
                 end, start = np.cumsum(count), 0
                 while start < len(count):
@@ -249,7 +248,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_co
             yield flush()
         encoder.forget()
 
-    return materialise(placed.mapInArrow(run, SHARD_SCHEMA), "token-shards")
+    return materialise(placed.mapInArrow(tidied(run), SHARD_SCHEMA), "token-shards")
 
 
 def read_documents(shards: DataFrame, *, id_col: str = "doc_id", id_type: str = "bigint") -> DataFrame:
@@ -273,4 +272,4 @@ def read_documents(shards: DataFrame, *, id_col: str = "doc_id", id_type: str =
                 at = before[row.column("part")[0].as_py()] + row.column("base")[0].as_py()
                 yield pa.RecordBatch.from_arrays([names, pa.array(starts + at), pa.array(ends - starts), pa.array(crc, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "base", "id_list", "blob").mapInArrow(run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "base", "id_list", "blob").mapInArrow(tidied(run), f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
