@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices
+from .common import bounded_slices, tidied
 
 WINDOW = 3
 #: Characters in a window that mark a surge on pages without a marked article.
@@ -180,4 +180,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
 
     kept = [id_col, *keep]
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
-    return pages.select(F.col(html_col).cast("string").alias("html"), *kept).mapInArrow(run, f"{schema}, text string, n_chars long")
+    return pages.select(F.col(html_col).cast("string").alias("html"), *kept).mapInArrow(tidied(run), f"{schema}, text string, n_chars long")

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialise, string_array
+from .common import bounded_slices, materialise, string_array, tidied
 from .lattice import Lattice, load_pieces
 from .lm_scoring import count_words, piece_totals, smoothed, words_of
 
@@ -53,7 +53,7 @@ def fit(docs: DataFrame, training: Column, model_path: str, *, lang_col: str = "
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, docs_per_language / counts[lang])])[F.col("lang")]
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003
     sample = rows.filter(drawn).select("text", model.alias("m"))
-    words = sample.mapInArrow(count_words("m"), "word string, m long, n long").groupBy("word", "m").agg(F.sum("n").alias("n"))
+    words = sample.mapInArrow(tidied(count_words("m")), "word string, m long, n long").groupBy("word", "m").agg(F.sum("n").alias("n"))
     words = materialise(words, "language-words")
     logp = None
     for _ in range(passes + 1):
@@ -87,12 +87,12 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*model.languages, UNKNOWN], pa.string())
         for batch in batches:
-            for part in bounded_slices(batch, "text", 16 << 20):
+            for part in bounded_slices(batch, "text", 8 << 20):
                 best, score = _predict(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), names.take(pa.array(best % len(names))), pa.array(score)], [id_col, "lang_pred", "score"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"`{id_col}` {id_type}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -100,8 +100,8 @@ def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded_slices(batch, text_col, 16 << 20):
+            for part in bounded_slices(batch, text_col, 8 << 20):
                 best, score = _predict(model, part.column(text_col))
                 yield part.filter(pa.array((best >= 0) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

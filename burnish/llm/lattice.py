@@ -17,7 +17,7 @@ MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS = 18
 #: Cells (words times positions) worked on at once; bounds a worker's memory.
-CELLS = 1 << 18
+CELLS = 1 << 15
 
 
 def load_pieces(model_path: str) -> tuple[list[str], list[int]]:

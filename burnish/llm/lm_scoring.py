@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialise, row_id, string_array
+from .common import bounded_slices, materialise, row_id, string_array, tidied
 from .lattice import Lattice, load_pieces
 
 #: Words whose counts are sent to every executor; a word takes 64 bytes at most.
@@ -109,7 +109,7 @@ def piece_totals(words: DataFrame, lattice, logp: np.ndarray | None, models: int
         piece, model = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(model), pa.array(total[piece, model])], ["piece", "model", "uses"])
 
-    rows = words.mapInArrow(run, "piece long, model long, uses double").groupBy("piece", "model").agg(F.sum("uses").alias("uses")).collect()
+    rows = words.mapInArrow(tidied(run), "piece long, model long, uses double").groupBy("piece", "model").agg(F.sum("uses").alias("uses")).collect()
     out = np.zeros((lattice.value.size, models))
     for piece, model, uses in rows:
         out[piece, model] = uses
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, training: Column, model_path: str, *, id_col: str = "do
     lattice = spark.sparkContext.broadcast(Lattice(*load_pieces(model_path)))
     source = docs.select(F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).cast("int").cast("long").alias("train"))
     ends = source.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
-    counted = source.mapInArrow(count_words("train"), "word string, train long, n long")
+    counted = source.mapInArrow(tidied(count_words("train")), "word string, train long, n long")
     words = materialise(counted.groupBy("word").agg(F.sum(F.col("n") * F.col("train")).alias("n")), "lm-words")
     seen = F.when(F.col("n") > 0, 1)
     tokens, types, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(seen), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, training: Column, model_path: str, *, id_col: str = "do
                     worth = np.logaddexp(spelling, np.log(whole)) / math.log(10)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(worth)], ["word", "n", "worth"])
 
-    scored = materialise(words.mapInArrow(lattice_scores, "word string, n long, worth double"), "lm-scores")
+    scored = materialise(words.mapInArrow(tidied(lattice_scores), "word string, n long, worth double"), "lm-scores")
     end_worth = math.log10((ends - discount) / total) if ends else math.log10(left) + word_end / math.log(10)
     return Model(pieces[:, 0], scored, total, distinct, ends, end_worth)
 
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     NAMES = ["rid", "word", "times", "id", "n_tokens", "n_known", "base", "score"]
     id_type = docs.schema[id_col].dataType.simpleString()
     kept = docs.select(row_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = kept.mapInArrow(run, f"rid long, word string, times long, id {id_type}, n_tokens long, n_known long, base double, score double")
+    parts = kept.mapInArrow(tidied(run), f"rid long, word string, times long, id {id_type}, n_tokens long, n_known long, base double, score double")
     joined = parts.join(model.words.withColumnRenamed("n", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0))
     return (

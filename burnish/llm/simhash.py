@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_slices, materialise, string_array
+from .common import bounded_slices, materialise, string_array, tidied
 
 SEED = 42
 #: Above so many fingerprints to a signature, pairs give way to one-bit neighbours.
@@ -61,7 +61,7 @@ def fingerprinted(rows: DataFrame, *, text_col: str, words_each: int = 3, name:
                 got = np.array([fingerprint_of(t.as_py(), words_each) for t in texts], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], [*part.schema.names, name])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, LongType())]))
+    return rows.mapInArrow(tidied(run), StructType([*rows.schema.fields, StructField(name, LongType())]))
 
 
 def _signatures(fp: Column) -> Column:

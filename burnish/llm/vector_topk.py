@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidied
 
 BLOCK, QUERY_BLOCK, CELLS = 4096, 512, 128
 BLOCKS_PER_GROUP = 2
@@ -75,7 +75,7 @@ def pack(rows: DataFrame, block: int) -> DataFrame:
             ids, exact = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield out(dim, ids, exact)
 
-    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in PACKED.items()))
+    return rows.mapInArrow(tidied(run), ", ".join(f"{name} {kind}" for name, kind in PACKED.items()))
 
 
 class Block:
@@ -145,7 +145,7 @@ def top_k(vectors: DataFrame, asks: Column, *, k: int = 5, id_col: str = "vec_id
                 cols = list(zip(*got, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["query_id", "id", "exact_score"])
 
-    found = met.mapInArrow(run, "query_id long, id long, exact_score string").withColumn("score", F.col("exact_score").cast("decimal(38,0)"))
+    found = met.mapInArrow(tidied(run), "query_id long, id long, exact_score string").withColumn("score", F.col("exact_score").cast("decimal(38,0)"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), F.greatest(F.least(F.col("score"), F.lit(big).cast("decimal(38,0)")), F.lit(-big - 1).cast("decimal(38,0)")).cast("long").alias("score"))
