@@ -19,15 +19,17 @@ def parse_integer(text: Column, ddl: str) -> Column:
 
 
 def parse_decimal(text: Column, ddl: str) -> Column:
-    return F.when(text.rlike(NUMBER), F.regexp_replace(text, r"\.(?=[eE]|\z)", "").try_cast(ddl))
+    return F.when(text.rlike(NUMBER), text.try_cast(ddl))
 
 
 def parse_floating(text: Column, ddl: str) -> Column:
+    """May be infinite, or zero by underflow; checked_floating() decides."""
+    return F.when(text.rlike(NUMBER), text.try_cast(ddl))
+
+
+def checked_floating(text: Column, value: Column) -> Column:
     """Finite values only, and no zero from a token with a digit other than zero before its exponent."""
-    value = F.regexp_replace(text, r"\.(?=[eE]|\z)", "").try_cast(ddl)
-    infinite = (F.abs(value) == F.lit(float("inf"))) | F.isnan(value)
-    vanished = (value == 0) & text.rlike(r"\A[^eE]*[1-9]")
-    return F.when(text.rlike(NUMBER) & ~infinite & ~vanished, value)
+    return F.when((F.abs(value) < float("inf")) & ((value != 0) | ~text.rlike(r"\A[^eE]*[1-9]")), value)
 
 
 def parse_binary(text: Column, encoding: Encoding) -> Column:
@@ -105,6 +107,11 @@ def parse_temporal(text: Column, kind: ParserType, patterns: Sequence[str]) -> C
     return value.cast("date") if kind is ParserType.DATE else value
 
 
+def needs_check(kind: SparkDataType) -> bool:
+    """Whether parse_scalar() is to be followed by checked_floating(), on a column so that casts are not repeated."""
+    return kind.parser_type in (ParserType.FLOAT, ParserType.DOUBLE)
+
+
 def parse_scalar(text: Column, kind: SparkDataType, options: ParserOptions) -> Column:
     t = kind.parser_type
     if t in INTEGER_BITS:

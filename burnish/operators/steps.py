@@ -14,8 +14,10 @@ from ..functions import text as T
 
 
 def normalised(source: Column, p: ParserOptions) -> Column:
-    out = T.collapse(source) if p.collapse_whitespace else source
-    return T.trim(out) if p.trim_whitespace else out
+    if p.collapse_whitespace:
+        # What is left of white space is single spaces, which need no pattern to trim.
+        return F.trim(T.collapse(source)) if p.trim_whitespace else T.collapse(source)
+    return T.trim(source) if p.trim_whitespace else source
 
 
 def is_empty(normal: Column, p: ParserOptions) -> Column:

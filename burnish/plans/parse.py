@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..contract.identity import content_hash
 from ..contract.model import ParserConfig
 from ..errors import SchemaValidationError
-from ..functions.scalars import parse_scalar
+from ..functions.scalars import checked_floating, needs_check, parse_scalar
 from ..operators import evidence, steps
 from .binding import EXHAUSTED, Key, bind, quoted
 
@@ -68,19 +68,30 @@ def parse(df: DataFrame, config: ParserConfig, *, key_columns: Sequence[str], on
         raise
 
 
+def _owners(config: ParserConfig, *options: str) -> list[int]:
+    """For each column the first with the same source and options, whose normalised text it shares."""
+    first: dict[tuple, int] = {}
+    return [first.setdefault((c.source_column_name, *[getattr(c.parser, o) for o in options]), i) for i, c in enumerate(config.columns)]
+
+
 def _plan(df: DataFrame, config: ParserConfig, keys: Sequence[Key], missing: frozenset[str], warnings: tuple[str, ...], name: dict[str, str], wanted: list[str], collect: bool) -> DataFrameParsing:
     tag = uuid.uuid4().hex
     held = lambda step, i: f"_{step}_{i}_{tag}"
     columns = list(enumerate(config.columns))
     source = {i: F.lit(None).cast("string") if c.source_column_name in missing else F.col(quoted(c.source_column_name)) for i, c in columns}
-    at = lambda step, i: F.col(held(step, i))
+    owners = {"n": _owners(config, "collapse_whitespace", "trim_whitespace")}
+    owners["v"] = _owners(config, "collapse_whitespace", "trim_whitespace", "empty_is_null", "replace_null_markers", "null_markers", "null_marker_case_sensitive")
+    owner = lambda step, i: owners[step][i] if step in owners else i
+    at = lambda step, i: F.col(held(step, owner(step, i)))
 
     def stage(step: str, make) -> dict[str, Column]:
-        return {held(step, i): make(i, c) for i, c in columns}
+        return {held(step, i): make(i, c) for i, c in columns if owner(step, i) == i}
 
     out = df.withColumns(stage("n", lambda i, c: steps.normalised(source[i], c.parser)))
     out = out.withColumns(stage("v", lambda i, c: steps.present(at("n", i), c.parser)))
     out = out.withColumns(stage("c", lambda i, c: parse_scalar(at("v", i), c.data_type, c.parser)))
+    if checked := {held("c", i): checked_floating(at("v", i), at("c", i)) for i, c in columns if needs_check(c.data_type)}:
+        out = out.withColumns(checked)
     out = out.withColumns(stage("r", lambda i, c: steps.resolved(at("v", i), at("c", i), source[i], c, collect)))
     out = out.withColumns(stage("f", lambda i, c: steps.final(at("r", i), c)))
 

@@ -246,8 +246,8 @@ SELECT p_partkey, t.target, CASE p_partkey % 6 WHEN 0 THEN t.a0 WHEN 1 THEN t.a1
 def audit_records(spark, sf_dir):
     config = contract(column("p_partkey", "p_partkey", "long"), *_SIZES)
     results = parser.parse_dataframe(_dirty_sizes(spark, sf_dir), config, key_columns=["p_partkey"], error_mode="collect").results_df
-    flat = results.select("p_partkey", F.explode("burnish_parse_results").alias("a"))
-    return flat.select("p_partkey", F.col("a.target_column_name").alias("target"), F.array_join("a.actions_applied", ",").alias("actions"), "a.changed")
+    flat = results.select("p_partkey", F.inline("burnish_parse_results"))
+    return flat.select("p_partkey", F.col("target_column_name").alias("target"), F.array_join("actions_applied", ",").alias("actions"), "changed")
 
 
 _TITLE = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(w[1]) || w[2:]), {1})"
