@@ -134,18 +134,27 @@ def top_k(vectors: DataFrame, asks: Column, *, k: int = 5, id_col: str = "vec_id
     dealt = blocks.withColumn("grp", F.pmod(F.xxhash64("ids", "exact"), F.lit(groups)).cast("int"))
     copied = queries.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
     met = dealt.join(copied, ["dim", "grp"]).select(*PACKED, "q_ids", "q_exact")
-    big = 2**63 - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 *packed, q_ids, q_exact = (batch.column(c)[i].as_py() for c in range(len(PACKED) + 2))
                 block, names, dim = Block(*packed), np.frombuffer(q_ids, "<i8"), packed[0]
-                got = [(names[q], block.ids[t], str(s)) for q, taken, scores in block.top(np.frombuffer(q_exact, "<f8").reshape(len(names), dim), names, k) for t, s in zip(taken.tolist(), scores, strict=True)]
-                cols = list(zip(*got, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["query_id", "id", "exact_score"])
+                got = [(names[q], block.ids[t], *_long(s)) for q, taken, scores in block.top(np.frombuffer(q_exact, "<f8").reshape(len(names), dim), names, k) for t, s in zip(taken.tolist(), scores, strict=True)]
+                cols = list(zip(*got, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["query_id", "id", "score", "beyond"])
 
-    found = met.mapInArrow(tidied(run), "query_id long, id long, exact_score string").withColumn("score", F.col("exact_score").cast("decimal(38,0)"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+    found = met.mapInArrow(tidied(run), "query_id long, id long, score long, beyond string")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), F.col("id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), F.greatest(F.least(F.col("score"), F.lit(big).cast("decimal(38,0)")), F.lit(-big - 1).cast("decimal(38,0)")).cast("long").alias("score"))
+    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _long(score: int) -> tuple[int, str]:
+    """The score within a long, and text that orders scores which are cut to one end."""
+    digits = str(abs(score))
+    if score >= 2**63:
+        return 2**63 - 1, f"{len(digits):05d}{digits}"
+    if score < -(2**63):
+        return -(2**63), f"{99_999 - len(digits):05d}" + "".join(str(9 - int(d)) for d in digits)
+    return score, ""
