@@ -103,13 +103,13 @@ class Shard:
 
 
 class Encoder:
-    """Encodes texts by their distinct white-space-separated words; a task keeps the ids of words it has met.
+    """Encodes texts by their distinct white-space-separated words; a worker keeps the ids of words it meets again.
 
     Right for tokenizers whose pre-tokens never hold ASCII white space and that drop it, like the word-level BPE here.
     Words go to the library many to a text, between separators of which each is one id that no other word has.
     """
 
-    #: Words kept (of KEPT_BYTES at most), and words to a text.
+    #: Words kept (of KEPT_BYTES at most), and words to a text.  Beyond KEPT those go that were not met again.
     KEPT, KEPT_BYTES, TOGETHER = 400_000, 64, 500
     SEPARATOR = "\x01"
 
@@ -123,12 +123,25 @@ class Encoder:
         self.end_id, self.lower = end_id, lower
         found = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
         self.separator_id = found[0] if len(found) == 1 else None
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop the words, so that an idle worker holds no more than the tokenizer."""
         self.kept_words = pa.array([], pa.large_string())
-        self.kept_ids, self.kept_length = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        self.kept_ids, self.kept_length, self.kept_hits = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, length: np.ndarray) -> None:
+        """Add new words; where there are too many, first drop what has not been met again, then the rarest."""
+        short = pc.binary_length(words).to_numpy() <= self.KEPT_BYTES
+        words, ids, length = words.filter(pa.array(short)), ids[np.repeat(short, length)], length[short]
+        if len(self.kept_words) + len(words) > self.KEPT:
+            least = 1
+            while (self.kept_hits >= least).sum() > self.KEPT // 2:
+                least *= 2
+            stays = self.kept_hits >= least
+            self.kept_words = self.kept_words.filter(pa.array(stays))
+            self.kept_ids = self.kept_ids[np.repeat(stays, self.kept_length)]
+            self.kept_length, self.kept_hits = self.kept_length[stays], self.kept_hits[stays] // 2
+        self.kept_words = pa.concat_arrays([self.kept_words, words])
+        self.kept_ids = np.concatenate([self.kept_ids, ids])
+        self.kept_length = np.concatenate([self.kept_length, length])
+        self.kept_hits = np.concatenate([self.kept_hits, np.zeros(len(words), dtype=np.int32)])
 
     def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after the other, and how many each has."""
@@ -166,6 +179,7 @@ class Encoder:
         coded = pc.list_flatten(split).dictionary_encode()
         words, code = coded.dictionary, coded.indices.to_numpy()
         found = pc.fill_null(pc.index_in(words, self.kept_words), -1).to_numpy().astype(np.int64)
+        self.kept_hits[found[found >= 0]] += 1
         new = np.flatnonzero(found < 0)
         fresh = words.take(pa.array(new))
         ids, length = self._encode_words(fresh)
@@ -180,11 +194,7 @@ class Encoder:
         to = np.cumsum(per_word) - per_word
         within = np.arange(int(per_word.sum()), dtype=np.int64)
         out[within + np.repeat(parent.astype(np.int64), per_word)] = all_ids[within + np.repeat(start[place] - to, per_word)]
-        short = pc.binary_length(fresh).to_numpy() <= self.KEPT_BYTES
-        if len(self.kept_words) < self.KEPT and short.any():
-            self.kept_words = pa.concat_arrays([self.kept_words, fresh.filter(pa.array(short))])
-            self.kept_ids = np.concatenate([self.kept_ids, ids[np.repeat(short, length)]])
-            self.kept_length = np.concatenate([self.kept_length, length[short]])
+        self._keep(fresh, ids, length)
         return out, counts
 
 
@@ -246,7 +256,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_co
                     start = stop
         if names:
             yield flush()
-        encoder.forget()
 
     return materialise(placed.mapInArrow(tidied(run), SHARD_SCHEMA), "token-shards")
 
