@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column
@@ -68,8 +70,12 @@ def _array(entries: list[Column], schema: str) -> Column:
     return (F.array_compact(F.array(*entries)) if entries else F.array()).cast(schema)
 
 
-def errors(entries: list[Column]) -> Column:
-    return _array(entries, ERROR_SCHEMA)
+def errors(columns: list[tuple[ColumnParser, Stages]]) -> Column:
+    """The error structs of a row; rows without a failure, nearly all, build none."""
+    if not columns:
+        return _array([], ERROR_SCHEMA)
+    any_bad = reduce(or_, [s.bad for _, s in columns])
+    return F.when(any_bad, _array([error_entry(c, s) for c, s in columns], ERROR_SCHEMA)).otherwise(_array([], ERROR_SCHEMA))
 
 
 def audits(entries: list[Column]) -> Column:

@@ -102,7 +102,7 @@ def _plan(df: DataFrame, config: ParserConfig, keys: Sequence[Key], missing: fro
         "parse_results": evidence.audits([evidence.audit_entry(c, seen(i)) for i, c in columns if c.parser.audit]),
         "config": F.struct(F.lit(config.parser_config_id).alias("id"), F.lit(config.version).alias("version"), F.lit(content_hash(config)).alias("content_hash")),
         "engine_version": F.lit(ENGINE_VERSION),
-        "parse_errors": evidence.errors([evidence.error_entry(c, seen(i)) for i, c in columns]) if collect else None,
+        "parse_errors": evidence.errors([(c, seen(i)) for i, c in columns]) if collect else None,
         "error_mode": F.lit("collect"),
     }
     key_columns = {held("k", i): at("f", k.target) if k.target is not None else F.col(quoted(k.column)) for i, k in enumerate(keys)}
