@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,9 +20,21 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reach_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, wherever the driver was started.
+
+    A cluster whose machines have it elsewhere, or get it with --py-files, is not disturbed.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach; a temporary one only where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -39,6 +39,7 @@ BOILER_NAMES = frozenset(
 COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 HEADER_NAMES = frozenset("header topbar".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SELF_ENDING = frozenset("li dt dd tr td th option".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby s samp small span strike strong sub sup time tt u var wbr img input label button".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
@@ -129,7 +130,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag in VOID:
             continue
-        if tag not in INLINE and stack and stack[-1][0] == "p":
+        if stack and (stack[-1][0] == "p" and tag not in INLINE or stack[-1][0] == tag and tag in SELF_ENDING):
             stack.pop()
             _, boiler, article, comment = stack[-1] if stack else ("", False, False, False)
         if tag == "a":

@@ -122,7 +122,7 @@ def smoothed(totals: np.ndarray, ends: np.ndarray | float = 0.0, add: float = 0.
     return np.log((totals + add) / mass), np.log((ends + add) / mass)
 
 
-def fit(docs: DataFrame, training: Column, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", passes: int = EM_PASSES) -> Model:
+def fit(docs: DataFrame, training: Column, model_path: str, *, text_col: str = "text", passes: int = EM_PASSES) -> Model:
     spark = docs.sparkSession
     lattice = spark.sparkContext.broadcast(Lattice(*load_pieces(model_path)))
     source = docs.select(F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).cast("int").cast("long").alias("train"))

@@ -180,10 +180,10 @@ TEXT = "Head & line First part of the text, long enough to count as main text of
 
 
 def test_html(spark):
-    pages = [PAGE % f"<article>{BODY}</article>", PAGE % f"<div id=content>{BODY}</div>", None, "", "just text", "<p>open<p>end<!-- never closed", "<article><h1>T</h1></article>", "<p>" + "long " * 50_000, "<div class='x"]
+    pages = [PAGE % f"<article>{BODY}</article>", PAGE % f"<div id=content>{BODY}</div>", None, "", "just text", "<p>open<p>end<!-- never closed", "<article><h1>T</h1></article>", "<p>" + "long " * 50_000, "<div class='x", "<ul><li class=ad>Buy<li>One<li>Two</ul>"]
     df = spark.createDataFrame([(i, "u", p, "t", 1) for i, p in enumerate(pages)] + [(0, None, pages[0], "t", 1)], "page_id long, url string, html string, text string, n_chars int")
     got = [(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()]
-    wanted = [TEXT, TEXT, "", "", "just text", "open end", "T", ("long " * 50_000).strip(), "<div class='x"]
+    wanted = [TEXT, TEXT, "", "", "just text", "open end", "T", ("long " * 50_000).strip(), "<div class='x", "One Two"]
     assert sorted(got) == sorted([(i, t, len(t)) for i, t in enumerate(wanted)] + [(0, TEXT, len(TEXT))])
     assert html_text.extract(df.filter("false")).collect() == []
 
