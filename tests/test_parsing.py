@@ -41,8 +41,8 @@ NUMBERS = {
     "integer": {"2147483647": 2147483647, "2147483648": None, "0x1": None, "": None, ".": None, "-": None, "NaN": None},
     "long": {"9223372036854775807": 9223372036854775807, "9223372036854775808": None},
     "decimal(6,2)": {"1.239": Decimal("1.24"), "1.": Decimal("1.00"), ".5": Decimal("0.50"), "1e2": Decimal("100.00"), "99999": None, "1e-9": Decimal("0.00"), "1.e1": Decimal("10.00"), ".e2": None, "+.": None},
-    "double": {"1e400": None, "1e-400": None, "0e-10000": 0.0, "-0.0": -0.0, "5e-324": 5e-324, "1f": None, "Infinity": None, "1.5": 1.5},
-    "float": {"1e39": None, "1e-46": None, "1.5": 1.5},
+    "double": {"1e400": None, "1e-400": None, "0e-10000": 0.0, "-0.0": -0.0, "5e-324": 5e-324, "1f": None, "Infinity": None, "1.5": 1.5, "-.5": -0.5, "1.e2": 100.0, "+.e2": None, "-00.000e+999": -0.0, "007": 7.0},
+    "float": {"1e39": None, "1e-45": 1.401298464324817e-45, "1e-46": None, "1.5": 1.5},
 }
 
 

@@ -26,6 +26,7 @@ GOLDEN = {
     "state_us": {
         "Illinois": "IL", "Ill.": "IL", "Washington, D.C.": "DC", "Illinois, tx": "IL, TX", "N. Mex.": "NM", "Mul": None, "IL,": None, "puerto rico": "PR",
         "wa, washington , d.c": "WA, DC", "U.S. Virgin Islands": "VI", "": None,
+        "Illinois, ": None, "a,b": None, "Washington, D.C.,": None, "Washington, D.C., Ill.": "DC, IL", "tx,  Ohio": "TX, OH",
     },
     "zip": {
         "1234": "01234", "123456789": "12345-6789", "123-45": "00123-0045", "123456": None, "1234, 67890": "01234, 67890", "12 345": "12345", "12a": None,
@@ -42,6 +43,9 @@ GOLDEN = {
         "Mixed use - (Office) & (Retail)": "Mixed Use - (Office) & (retail)", "mixed use ((office))": "Mixed Use - Office", "Multi Family LIHTC mixed use": "Mixed Use - Multifamily - LIHTC",
         "Apartment – Garden": "Apartment - Garden", "unmixed use": None, "pud - mixed use - retail": "Mixed Use - PUD - Retail",
         "Condo Low Rise (<= 4 Stories; Single Unit)": "Condominium", "RE/Equipment": None,
+        "Mixed Use - ((A) (B))": "Mixed Use - (A) (b)", "Mixed Use - (A (B))": "Mixed Use - A (b)", "Mixed Use - (A))": "Mixed Use - (A))", "Mixed Use - ((A)": "Mixed Use - ((A)",
+        "Mixed Use - () - A": "Mixed Use - A", "Mixed Use - (( ))": "Mixed Use", "mixed use - ((école))": "Mixed Use - École", "Four–Unit": "Four-Unit", "Retail, Office": None,
+        "MIXED USE- MULTIFAMILY-Over 20": "Mixed Use - Multifamily - Over 20", "Mixed use - 24 UNIT": "Mixed Use - 24 Unit", "1": None, "Multi": None,
     },
 }
 
