@@ -146,12 +146,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, differing: int = 2, crowd: int = CROWD) -> DataFrame:
     """One row of each class, columns as they are: a row with the class's smallest id, null ids after all others.
 
-    Of rows that share that id and a fingerprint, repeats of the document, any one stays.
+    A row is known by its id and a hash of its text, so what is kept for the choice is small; of rows that repeat both,
+    any one stays.
     """
-    rows = materialise(fingerprinted(docs, text_col=text_col, words_each=words_each), "simhash-docs")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_simhash_fp").alias("fp"))
-    distinct = materialise(rows.groupBy(F.col("_simhash_fp").alias("fp")).agg(F.min(order).alias("first")), "simhash-first")
+    content = F.xxhash64(text_col)
+    source = docs.select(F.col(id_col).alias("id"), content.alias("content"), F.col(text_col).alias("text"))
+    marked = materialise(fingerprinted(source, text_col="text", words_each=words_each, name="fp").drop("text"), "simhash-rows")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "content")
+    distinct = materialise(marked.groupBy("fp").agg(F.min(order).alias("first")), "simhash-first")
     rooted = distinct.join(classes(distinct.select("fp"), differing=differing, crowd=crowd), "fp")
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_simhash_id"), F.col("first.fp").alias("_simhash_fp"))
-    same = rows[id_col].eqNullSafe(chosen["_simhash_id"]) & (rows["_simhash_fp"] == chosen["_simhash_fp"])
-    return rows.join(chosen, same, "left_semi").dropDuplicates([id_col, "_simhash_fp"]).drop("_simhash_fp")
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_simhash_id"), F.col("first.content").alias("_simhash_content"))
+    rows = docs.withColumn("_simhash_content_of", content)
+    same = rows[id_col].eqNullSafe(chosen["_simhash_id"]) & (rows["_simhash_content_of"] == chosen["_simhash_content"])
+    return rows.join(chosen, same, "left_semi").dropDuplicates([id_col, "_simhash_content_of"]).drop("_simhash_content_of")
