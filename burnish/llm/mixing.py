@@ -168,10 +168,10 @@ def mixed(docs: DataFrame, labels: DataFrame, *, targets: Mapping[str, float] =
     The whole part of a rate is sure, the rest is drawn by a hash of the row's id and text, so a rerun gives the same rows.
     """
     classifier = fit_classifier(docs, labels, id_col=id_col, text_col=text_col)
-    # Texts are read again for the copies: cheaper than keeping or moving them with their posteriors.
-    slim = materialise(classified(docs.select(text_col), classifier, text_col=text_col).drop(text_col), "mix-rows")
+    # Written with the texts: as columns of a table, posteriors stay out of the plan that filters and copies by rates.
+    rows = materialise(classified(docs, classifier, text_col=text_col), "mix-docs")
     fraction = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor(fit_rates(slim, targets) + fraction).cast("int")
-    copies = classified(docs, classifier, text_col=text_col).withColumn("_mix_times", times).filter("_mix_times > 0")
+    times = F.floor(fit_rates(rows, targets) + fraction).cast("int")
+    copies = rows.withColumn("_mix_times", times).filter("_mix_times > 0")
     # An explode of a short array: a row and its copies stay where they are.
     return copies.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
