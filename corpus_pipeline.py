@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnish.llm import decontaminate, language_id, mixing, simhash, token_output
+from burnish.llm import decontaminate, language_id, mixing, near_copies, token_output
 from burnish.llm.common import shared_dir, table
 from burnish.llm.queries import id_remainder, public_path
 
@@ -22,8 +22,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies by five-word shingles: that with the smallest id."""
+    return near_copies.representatives(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
