@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import os
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -36,26 +39,95 @@ def reach_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach; a temporary one only where none is configured."""
+    """The folder that every executor and the driver can reach, as spark.checkpoint.dir names it.
+
+    Where it is unset a temporary folder is made and set, on a local master only: elsewhere each machine would write to
+    a disk of its own.  The temporary folder is deleted when the driver ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='burnish-shared-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        made = tempfile.mkdtemp(prefix="burnish-shared-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        found = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so a lost executor never forces its lineage to be redone."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/burnish-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+_kept: set[str] = set()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; deleted by cleanup(), or when the driver ends."""
+    path = f"{shared_dir(spark)}/burnish-{spark.sparkContext.applicationId}"
+    if path not in _kept:
+        _kept.add(path)
+        atexit.register(_delete, path, spark._jvm, spark._jsc.hadoopConfiguration())
+    return path
+
+
+def _delete(path: str, jvm, conf) -> None:
+    with contextlib.suppress(Exception):  # the driver's JVM may have ended before
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(conf).delete(there, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written to a path and read back, so a lost executor never forces its lineage to be redone."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """df written to this application's folder and read back."""
+    return written(df, f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete every table that materialise() has written for this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/burnish-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(work_dir(spark), spark._jvm, spark._jsc.hadoopConfiguration())
+
+
+#: A table is sent to every executor only if its measured bytes are within this.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(df: DataFrame, *, most: int | None = None) -> DataFrame:
+    """df marked for broadcast if its measured size is within most bytes (default BROADCAST_BYTES), else as it is.
+
+    Texts and arrays are measured in the rows, the rest counts 16 bytes a column; df should be a written table.
+    """
+    width = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, ArrayType):
+            width = width + F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0)) * 16
+    size = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else df
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """name, or name with underscores before it, so that no column is called that in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def content_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two hashes that name a row by its id and text, the same wherever and however often they are taken.
+
+    Rows that repeat both share a key: they are alike in all that an operator decides about.
+    """
+    id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    parts = (id_, id_.isNull(), text, text.isNull())
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *reversed(parts))
 
 
 def ascii_lower(text: Column) -> Column:
