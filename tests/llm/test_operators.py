@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from burnish.llm import chat_format, decontaminate, html_text, language_id, lm_scoring, mixing, token_output, url_filter, vector_topk
+from burnish.llm import chat_format, common, decontaminate, html_text, language_id, lm_scoring, mixing, token_output, url_filter, vector_topk
 from burnish.llm.lattice import MARK, Lattice, load_pieces
 from burnish.llm.queries import id_remainder, public_path
 
@@ -339,7 +339,7 @@ def test_decontamination(spark):
 
 
 def test_decontamination_by_shuffled_joins(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     test_decontamination(spark)
 
 
