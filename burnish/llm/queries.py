@@ -133,14 +133,10 @@ p AS (
 rules(action, rule, rhost, rpath) AS (VALUES
   ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
   ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
-blocked(bhost) AS (VALUES ('ads-track.example.com'), ('adult-x.example.com'), ('casino-win.example.net'),
-  ('cheap-pills.example.net'), ('free-bets.example.net'), ('spam-farm.example.org')),
 m AS (
   SELECT p.page_id, p.host, p.path, r.rule, r.action, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k
   FROM p LEFT JOIN rules r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN EXISTS (
-  SELECT 1 FROM blocked WHERE host = bhost OR ends_with(host, '.' || bhost)) THEN 'block' ELSE 'allow' END) AS verdict
-FROM m WHERE k = 1
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WHERE k = 1
 """
 
 

@@ -1,81 +1,80 @@
-"""Operator 9, URL filters: a cascade of Bloom filters that is exact over the corpus's own keys.
-
-Level 0 encodes the listed keys.  The keys of the corpus that it takes for listed but are not go into level 1, the
-listed keys that level 1 wrongly holds go into level 2, and so on until a level errs on no key of the universe.
-Walking down the levels then answers membership exactly for every key that occurs, by bit tests in the scan: no join.
-
-A key is a host or one of its parent domains, followed by a path prefix of a length that the rules use.  The cascade
-is built from the distinct keys of the whole corpus.  Levels are bit arrays in the plan; MOST_BITS bounds a level,
-and a list beyond it is looked up by an equality join instead.
-
-Defined cases: a null url, or one without "://", has empty host and path, fits no rule and is allowed; repeated rows are
-judged row by row; an empty table gives an empty result; other columns are ignored.
+"""Operator 9, URL filters: cascades of Bloom filters that are exact over the corpus's own keys.
+
+A list of keys has one cascade.  Level 0 encodes the listed keys.  The keys of the corpus that it takes for listed but are
+not go into level 1, the listed keys that level 1 wrongly holds go into level 2, and so on until a level errs on no key of
+the universe.  Walking down the levels then answers membership exactly for every key that occurs, by bit tests in the
+scan: no join, and nothing else of the lists is in the plan.
+
+A key is the last labels of a host, followed by a path prefix, in the numbers of labels and characters that listed keys
+have.  Keys that block and keys that allow have a cascade each, so the longest key of a url that either holds is its rule
+and that cascade its verdict.  The universe is the distinct keys of the whole corpus.  A level is a bit array of
+BITS_PER_KEY bits a key, in one row of a written table that every task reads as a scalar subquery; an executor holds
+about a byte for each listed key that occurs, whatever the size of the corpus.
+
+Defined cases: a null url, or one without "://", has empty host and path, fits no rule and is allowed; a very long url is
+judged like any other; of a key in both lists block decides; without rules all is allowed; repeated rows are judged row by
+row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, materialise, quoted
 
-#: The rules (action, host and path) of the registered query, and its list of blocked hosts.
+#: The rules (action, host and path) of the registered query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-BLOCKED_HOSTS = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
 
-BITS_PER_KEY, HASHES, MOST_BITS = 8, 3, 1 << 23
+BITS_PER_KEY, HASHES = 8, 3
+#: Bits to a word of a level's image; its sign is left alone.
+WORD = 63
 
 
 @dataclass
 class Level:
+    """bits of the filter; image: a written table of one row, the array of its words; seed tells levels apart."""
+
     bits: int
-    words: list[int]
+    image: DataFrame
     seed: int
 
     def holds(self, key: Column) -> Column:
         """True where every bit of the key is set."""
-        image = F.from_json(F.lit(str(self.words)), "array<bigint>")
-        tests = []
+        image = self.image.scalar()
+        out = F.lit(True)
         for place in _places(key, self.bits, self.seed):
-            word = F.get(image, (place / 63).cast("int"))
-            tests.append(F.getbit(word, (place % 63).cast("int")) == 1)
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
+            out = out & (F.getbit(F.get(image, F.floor(place / WORD).cast("int")), (place % WORD).cast("int")) == 1)
         return out
 
 
 def _places(key: Column, bits: int, seed: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(seed * HASHES + h), key), F.lit(bits)) for h in range(HASHES)]
+    return [F.pmod(F.xxhash64(F.lit(seed * HASHES + h), key), F.lit(bits).cast("long")) for h in range(HASHES)]
 
 
 def build_level(keys: DataFrame, count: int, seed: int) -> Level:
-    """The Bloom filter of the column key; its words (63 bits each) are at most MOST_BITS / 63 numbers on the driver."""
+    """The Bloom filter of the column key, its words gathered by the executors."""
     bits = max(64, count * BITS_PER_KEY)
     places = keys.select(F.explode(F.array(*_places(F.col("key"), bits, seed))).alias("p"))
-    set_words = places.groupBy((F.col("p") / 63).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 63 AS INT))")).alias("v")).collect()
-    words = [0] * math.ceil(bits / 63)
-    for w, v in set_words:
-        words[w] = v
-    return Level(bits, words, seed)
+    words = places.groupBy(F.floor(F.col("p") / WORD).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(p % {WORD} AS INT))")).alias("v"))
+    every = keys.sparkSession.range(-(-bits // WORD)).select(F.col("id").alias("w"))
+    filled = every.join(words, "w", "left").select("w", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    image = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("image"))
+    return Level(bits, materialise(image, f"bloom-image-{seed}"), seed)
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, *, most_bits: int = MOST_BITS) -> list[Level] | None:
-    """Levels that answer exactly whether a key of universe (column key) is in listed; None if level 0 were too large.
+def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
+    """Levels that answer exactly whether a key of universe (column key, distinct) is in listed.
 
     Each round keeps only keys that the last level errs on, so the sets shrink by the filters' error rate.
     """
-    present = materialise(universe.join(listed.select("key").distinct(), "key", "left_semi"), "bloom-listed")
-    absent = universe.join(listed.select("key"), "key", "left_anti")
+    inside = materialise(universe.join(listed.select("key").distinct(), "key", "left_semi"), "bloom-listed")
+    outside = universe.join(listed.select("key").distinct(), "key", "left_anti")
     levels: list[Level] = []
-    inside, outside = present, absent
     while count := inside.count():
-        if count * BITS_PER_KEY > most_bits:
-            return None
         level = build_level(inside, count, len(levels))
         levels.append(level)
         wrong = materialise(outside.filter(level.holds(F.col("key"))), f"bloom-{len(levels)}")
@@ -100,52 +99,51 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), F.regexp_extract(tail, r"\A([^?#]*)", 1)
 
 
-def _keys(lengths: Sequence[int]) -> Column:
-    """All keys of (host, path): each parent domain with each path prefix that is long enough to matter."""
-    labels = F.split(F.col("host"), r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    nothing = F.array().cast("array<string>")
+def rules_table(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """A table (action, rule) of a short list, made by the JVM alone."""
+    rows = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(r).alias("rule")) for a, r in rules]) if rules else F.expr("CAST(array() AS array<struct<action: string, rule: string>>)")
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+
+
+def _shape(rule: Column) -> Column:
+    """(labels, path): how many labels of a host and characters of a path a key has; path is 0 for a host alone."""
+    host = F.substring_index(rule, "/", 1)
+    return F.struct(F.size(F.split(host, r"\.")).alias("labels"), (F.char_length(rule) - F.char_length(host)).alias("path"))
 
-    def with_prefix(n: int) -> Column:
-        keys = F.transform(parents, lambda domain: F.concat(domain, F.substring(F.col("path"), 1, n)))
-        return F.when(F.char_length("path") >= n, keys).otherwise(nothing)
 
-    return F.when(F.col("host") == "", nothing).otherwise(F.array_distinct(F.concat(*map(with_prefix, lengths))))
+def _key(labels: int, chars: int) -> Column:
+    """The key of that shape of (host, path); null where they are too short for it."""
+    long_enough = (F.col("host") != "") & (F.size(F.split("host", r"\.")) >= labels) & (F.char_length("path") >= chars)
+    return F.when(long_enough, F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, chars)))
 
 
-def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, blocked: Sequence[str] = BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url", most_bits: int = MOST_BITS) -> DataFrame:
+def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] | DataFrame = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule (the longest that fits, else null) and verdict ('allow' or 'block') of each row.
 
-    Without a rule the verdict is 'block' for a host that is, or is below, a blocked one.
+    rules are pairs, or a table, of action ('allow' or 'block') and rule: a lower-case host, then a path or nothing; a
+    rule without a path fits all pages of its host and the hosts below.
     """
     spark = pages.sparkSession
-    host, path = host_and_path(F.col(url_col))
-    parsed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    lengths = sorted({0} | {len(r) - r.index("/") for _, r in rules})
-    keyed = parsed.select("id", "host", "path", _keys(lengths).alias("keys"))
-    universe = materialise(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).select("key"), "bloom-universe")
-    action = dict((r, a) for a, r in rules)
-    # Rules and blocked hosts are both lists of keys: a rule has a slash, a host has none.
-    listed = spark.createDataFrame([(k,) for k in {*action, *blocked}], "key string")
-    levels = build_cascade(universe, listed, most_bits=most_bits)
-    if levels is None:
-        return _judge_by_join(keyed, listed, action, id_col)
-    hits = F.filter("keys", lambda k: member(k, levels))
-    found = keyed.select("id", "host", "path", hits.alias("hits"))
-    return found.select(F.col("id").alias(id_col), "host", "path", *_decide(F.col("hits"), action))
-
-
-def _decide(hits: Column, action: dict[str, str]) -> tuple[Column, Column]:
-    rule_hits = F.filter(hits, lambda k: F.contains(k, F.lit("/")))
-    longest = F.array_max(F.transform(rule_hits, lambda k: F.struct(F.char_length(k).alias("n"), k.alias("k"))))["k"]
-    actions = F.create_map(*[F.lit(x) for pair in action.items() for x in pair]) if action else F.create_map().cast("map<string,string>")
-    listed_host = F.exists(hits, lambda k: ~F.contains(k, F.lit("/")))
-    return longest.alias("rule"), F.coalesce(F.try_element_at(actions, longest), F.when(listed_host, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict")
-
-
-def _judge_by_join(keyed: DataFrame, listed: DataFrame, action: dict[str, str], id_col: str) -> DataFrame:
-    """The exact way for lists beyond the bound: an equality join on keys, then the hits of each row together."""
-    rows = keyed.withColumn("rid", F.monotonically_increasing_id())
-    met = rows.select("rid", F.explode("keys").alias("key")).join(listed.distinct(), "key").groupBy("rid").agg(F.collect_set("key").alias("hits"))
-    found = rows.join(met, "rid", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
-    return found.select(F.col("id").alias(id_col), "host", "path", *_decide(F.col("hits"), action))
+    table = rules if isinstance(rules, DataFrame) else rules_table(spark, rules)
+    listed = materialise(table.groupBy(F.col("rule").alias("key")).agg(F.max("action").alias("action")).filter("key <> ''"), "bloom-rules")
+    # As many as there are shapes of keys, whatever the number of rules.
+    shapes = sorted((r[0], r[1]) for r in listed.select(_shape(F.col("key")).alias("s")).select("s.labels", "s.path").distinct().collect())
+    host, path = host_and_path(F.col(quoted(url_col)))
+    parsed = pages.select(F.col(quoted(id_col)).alias("id"), host.alias("host"), path.alias("path"))
+    keyed = parsed.select("id", "host", "path", *[_key(*s).alias(f"key{i}") for i, s in enumerate(shapes)])
+    fits, verdict = [], F.lit("allow")
+    if shapes:
+        each = keyed.select(F.explode(F.array(*[F.col(f"key{i}") for i in range(len(shapes))])).alias("key")).filter("key IS NOT NULL")
+        # One row a key, and no task has all of a frequent one.
+        universe = materialise(each.groupBy("key").agg(F.count("*").alias("n")).select("key"), "bloom-universe")
+        cascades = {a: build_cascade(universe, listed.filter(F.col("action") == a)) for a in ("block", "allow")}
+        for i in range(len(shapes)):
+            key = F.col(f"key{i}")
+            found = F.when(member(key, cascades["block"]), F.lit("block")).when(member(key, cascades["allow"]), F.lit("allow"))
+            hit = F.when(key.isNotNull() & found.isNotNull(), F.struct(F.char_length(key).alias("n"), key.alias("rule"), found.alias("action")))
+            fits.append(hit)
+    if not fits:
+        return parsed.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), verdict.alias("verdict"))
+    # Written: the optimizer would copy the levels' tests into every expression over a verdict.
+    told = materialise(keyed.select("id", "host", "path", F.array_max(F.array(*fits)).alias("best")), "bloom-judged")
+    return told.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", verdict).alias("verdict"))

@@ -351,24 +351,39 @@ URLS = [
 ]
 
 
-def plain_verdict(url):
+def plain_verdict(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.split("[/?#]", rest, maxsplit=1)[0]
     path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
-    host = host.lower()
-    below = lambda h: host == h or host.endswith("." + h)
-    fits = [(len(r), r, a) for a, r in url_filter.RULES if below(r[: r.index("/")]) and path.startswith(r[r.index("/") :])]
-    if fits:
-        return host, path, max(fits)[1], max(fits)[2]
-    return host, path, None, "block" if any(map(below, url_filter.BLOCKED_HOSTS)) else "allow"
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = []
+    for action, rule in rules:
+        of, _, below = rule.partition("/")
+        if host and (host == of or host.endswith("." + of)) and ("/" not in rule or path.startswith("/" + below)):
+            fits.append((len(rule), rule, action))
+    return (host, path, *max(fits)[1:]) if fits else (host, path, None, "allow")
 
 
-@pytest.mark.parametrize("most_bits", [url_filter.MOST_BITS, 8])
-def test_url_verdicts(spark, most_bits):
+HOSTS = [("block", "free-bets.example.net"), ("allow", "sub.free-bets.example.net"), ("block", "a..net/x"), ("allow", "net/"), ("block", "org"), ("allow", "z.net/")]
+
+
+@pytest.mark.parametrize("rules", [url_filter.RULES, [*url_filter.RULES, *HOSTS], [("allow", "net/"), ("block", "net/")], [], [("block", "nowhere.example/")]])
+@pytest.mark.parametrize("bits", [8, 1])
+def test_url_verdicts(spark, monkeypatch, rules, bits):
+    monkeypatch.setattr(url_filter, "BITS_PER_KEY", bits)
     df = spark.createDataFrame([(i, u, "k", "h") for i, u in enumerate([*URLS, URLS[0]])], "page_id long, url string, key string, host string")
-    got = url_filter.judge(df, most_bits=most_bits).collect()
-    assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got) == sorted((i, h, p, r or "", v) for i, (h, p, r, v) in enumerate(map(plain_verdict, [*URLS, URLS[0]])))
-    assert url_filter.judge(df.filter("false"), most_bits=most_bits).collect() == []
+    got = url_filter.judge(df, rules=rules).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got) == sorted((i, h, p, r or "", v) for i, (h, p, r, v) in enumerate(plain_verdict(u, rules) for u in [*URLS, URLS[0]]))
+    assert url_filter.judge(df.filter("false"), rules=rules).collect() == []
+
+
+def test_url_verdicts_of_a_table_of_many_rules(spark):
+    """However many keys are listed, the cascades decide."""
+    many = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("action"), F.format_string("h%d.example/", "id").alias("rule"))
+    df = spark.range(0, 600_000, 2).select(F.col("id").alias("page_id"), F.format_string("https://x.h%d.example/a?b", "id").alias("url"))
+    got = url_filter.judge(df, rules=many)
+    wrong = got.filter((F.col("verdict") != F.when((F.col("page_id") < 300_000) & (F.col("page_id") % 3 != 0), "block").otherwise("allow")) | (F.col("rule").isNotNull() != (F.col("page_id") < 300_000)))
+    assert got.count() == 300_000 and wrong.count() == 0
 
 
 def test_cascade_is_exact(spark, monkeypatch):
