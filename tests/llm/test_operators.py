@@ -124,17 +124,52 @@ def test_top_k(spark):
     assert vector_topk.top_k(df.filter("false"), F.lit(True)).collect() == []
 
 
-def test_top_k_reads_few_exact_vectors():
+def test_top_k_query_hidden_by_an_unusable_row(spark):
+    df = spark.createDataFrame([(50, [None, 1.0]), (50, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 1.0])], "vec_id long, embedding array<double>")
+    got = vector_topk.top_k(df, F.col("vec_id") == 50).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(50, 1, 131072), (50, 2, 98304)]
+
+
+def test_top_k_in_parts_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_topk, "QUERY_BYTES", 500)
+    monkeypatch.setattr(vector_topk, "BLOCK", 16)
+    test_top_k(spark)
+
+
+def test_top_k_reads_few_exact_vectors(spark, monkeypatch):
+    """The exact file is asked for the rows that the bounds leave, not for all; equal vectors don't change that."""
     rnd = np.random.default_rng(0)
-    exact = np.floor(rnd.normal(0, 40, (2000, 16)))
-    low, high = exact.min(), exact.max()
-    width = max(1.0, np.ceil((high - low + 1) / vector_topk.CELLS))
-    cells = ((exact - low) // width).astype(np.uint8)
-    block = vector_topk.Block(16, low, high, width, np.arange(2000).astype("<i8").tobytes(), cells.tobytes(), exact.tobytes())
-    for q, taken, scores in block.top(exact[:20], np.arange(20), 5):
-        order = np.lexsort((np.arange(2000), -(exact @ exact[q])))
-        order = order[order != q][:5]
-        assert taken.tolist() == order.tolist() and scores == (exact[order] @ exact[q]).astype(int).tolist()
+    x = rnd.normal(0, 0.2, (4000, 16))
+    x[1000:2500] = x[7]
+    asked = []
+    whole = vector_topk._read
+    monkeypatch.setattr(vector_topk, "_read", lambda wanted, exact, sent: asked.append(wanted.count()) or whole(wanted, exact, sent))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    got = vector_topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
+    e = np.floor(x * 256)
+    wanted = []
+    for q in range(0, 4000, 100):
+        scores = e @ e[q]
+        order = [i for i in np.lexsort((np.arange(4000), -scores)).tolist() if i != q][:5]
+        wanted += [(q, r + 1, i, int(scores[i])) for r, i in enumerate(order)]
+    assert sorted(map(tuple, got)) == wanted
+    assert asked[0] == 40 * 5 and sum(asked) < 40 * 4000 / 50
+
+
+def test_top_k_bounds_hold():
+    rnd = np.random.default_rng(1)
+    x = np.floor(rnd.normal(0, 60, (500, 24)))
+    low = x.min(axis=0)
+    width = np.maximum(1.0, np.ceil((x.max(axis=0) - low + 1) / 8))
+    cells = np.minimum((x - low) // width, 7).astype(np.uint8)
+    asks = vector_topk.Queries(np.arange(500), x, 3)
+    best, seen = x @ x.T, np.zeros((500, 500), dtype=bool)
+    for q, row, upper, lower in asks.scan(low, width, np.arange(500), cells):
+        assert (lower <= best[q, row]).all() and (best[q, row] <= upper).all()
+        seen[q, row] = True
+    np.fill_diagonal(best, -np.inf)
+    for q in range(500):
+        assert seen[q, np.argsort(-best[q])[:3]].all() and asks.least()[q] <= np.sort(best[q])[-3]
 
 
 # ---- op3 ----
