@@ -11,12 +11,13 @@ store that Spark reads, and one blob in this format (little-endian):
     high part: a bit string with a one at (end >> l) + i for document i,
     samples: the place in the high part of every 64th one, as u32.
 
-The ends are select queries: select(i) finds the i-th one from its sample and adds the low bits.  No table of
-64-bit offsets is stored; a shard keeps its place among the ids of its partition, and partitions' totals (one number for
-each partition) give the rest.
+The ends are select queries: select(i) finds the i-th one from its sample and adds the low bits.  No table of 64-bit
+offsets is stored or built: a reader asks select() document by document.  A shard keeps its place among the ids of its
+partition, and partitions' totals (one number for each partition) give the rest.
 
-Defined cases: a null or empty text is the end id alone; repeated ids follow each other, ordered by text; null ids come
-first; an empty table gives no shards; other columns are ignored.
+Defined cases: a null or empty text is the end id alone; strings of special tokens in a text get those tokens' ids, as
+the library gives them; repeated ids follow each other, ordered by a hash of their texts; null ids come first; a very long
+text makes one shard of its own; an empty table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialise, string_array, tidied
+from .common import bounded_slices, materialise, quoted, string_array, tidied
 
 MAGIC = b"EFT1"
 HEAD = struct.Struct("<4sBBHQQQQQ")
 SAMPLE = 64
 SHARD_IDS = 1 << 21
+#: Documents read from a shard to a batch.
+READ = 4096
 SHARD_SCHEMA = "part int, seq int, base long, docs long, ids long, id_list binary, blob binary"
 
 
@@ -71,32 +74,22 @@ class Shard:
         self._samples = np.frombuffer(blob, dtype="<u4", count=samples, offset=at + low + high)
 
     def _low_of(self, i: int) -> int:
-        value = 0
-        for b in range(self.low_bits):
-            bit = i * self.low_bits + b
-            value |= (int(self._low[bit >> 3]) >> (bit & 7) & 1) << b
-        return value
+        bit, n = i * self.low_bits, self.low_bits
+        chunk = int.from_bytes(self._low[bit >> 3 : (bit + n + 7) >> 3].tobytes(), "little")
+        return chunk >> (bit & 7) & ((1 << n) - 1)
 
     def select(self, i: int) -> int:
-        """The end of document i: a walk of at most 64 ones from the nearest sample."""
+        """The end of document i: a walk of at most 64 ones from the nearest sample, 64 bits at a time."""
         at, left = int(self._samples[i // SAMPLE]), i % SAMPLE
-        byte, mask = at >> 3, 0xFF << (at & 7) & 0xFF
-        while True:
-            here = int(self._high[byte]) & mask
-            count = here.bit_count()
-            if count > left:
-                for bit in range(8):
-                    if here >> bit & 1:
-                        if not left:
-                            return ((byte * 8 + bit - i) << self.low_bits) | self._low_of(i)
-                        left -= 1
-            left, byte, mask = left - count, byte + 1, 0xFF
-
-    def ends(self) -> np.ndarray:
-        """All document ends, decoded at once."""
-        ones = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self._low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return ((ones - np.arange(self.n)) << self.low_bits) + (low << np.arange(self.low_bits)).sum(axis=1)
+        place = at & ~7
+        word = int.from_bytes(self._high[at >> 3 : (at >> 3) + 8].tobytes(), "little") >> (at & 7) << (at & 7)
+        while (count := word.bit_count()) <= left:
+            left, place = left - count, place + 64
+            word = int.from_bytes(self._high[place >> 3 : (place >> 3) + 8].tobytes(), "little")
+        for _ in range(left):
+            word &= word - 1
+        one = place + (word & -word).bit_length() - 1
+        return ((one - i) << self.low_bits) | self._low_of(i)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.select(i - 1) if i else 0 : self.select(i)]
@@ -106,7 +99,8 @@ class Encoder:
     """Encodes texts by their distinct white-space-separated words; a worker keeps the ids of words it meets again.
 
     Right for tokenizers whose pre-tokens never hold ASCII white space and that drop it, like the word-level BPE here.
-    Words go to the library many to a text, between separators of which each is one id that no other word has.
+    Words go to the library many to a text, between separators of which each is one id that no other word has.  A text
+    that holds the string of a special token goes to the library whole.
     """
 
     #: Words kept (of KEPT_BYTES at most), and words to a text.  Beyond KEPT those go that were not met again.
@@ -118,8 +112,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_str(tokenizer_json)
+        self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # words come lower-cased: what looks special there was not
         self.end_id, self.lower = end_id, lower
         found = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
         self.separator_id = found[0] if len(found) == 1 else None
@@ -174,6 +170,11 @@ class Encoder:
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end id, and the number of ids of each text."""
         plain = string_array(text)
+        special = np.zeros(len(plain), dtype=bool)
+        for token in self.special:
+            special |= pc.match_substring(plain, token).to_numpy(zero_copy_only=False)
+        if special.any():
+            return self._with_whole(plain, special)
         split = pc.ascii_split_whitespace(pc.ascii_lower(plain) if self.lower else plain)
         parent = pc.list_parent_indices(split).to_numpy()
         coded = pc.list_flatten(split).dictionary_encode()
@@ -197,6 +198,15 @@ class Encoder:
         self._keep(fresh, ids, length)
         return out, counts
 
+    def _with_whole(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As __call__, where the marked texts are encoded whole."""
+        ids, counts = self(pc.if_else(pa.array(whole), "", texts))
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(whole).tolist():
+            found = self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids
+            parts[i] = np.array([*found, self.end_id], dtype=np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
 
 _ENCODERS: dict[tuple[int, int], Encoder] = {}
 
@@ -214,7 +224,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_co
     """The table of shards (SHARD_SCHEMA), written to the shared folder; id_list is the documents' ids as an Arrow column."""
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())
-    placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id"), F.xxhash64("text")).sortWithinPartitions("id", "text")
+    mark = F.xxhash64("text")
+    placed = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    placed = placed.repartitionByRange(F.col("id"), mark).sortWithinPartitions("id", mark, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(tokenizer.value, end_id), TaskContext.get().partitionId()
@@ -274,11 +286,15 @@ def read_documents(shards: DataFrame, *, id_col: str = "doc_id", id_type: str =
                 row = batch.slice(i, 1)
                 shard = Shard(row.column("blob")[0].as_py())
                 names = pa.ipc.open_stream(row.column("id_list")[0].as_py()).read_all()["id"].combine_chunks()
-                ends = shard.ends()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                words = shard.ids.astype("<u4")
-                crc = [zlib.crc32(words[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 at = before[row.column("part")[0].as_py()] + row.column("base")[0].as_py()
-                yield pa.RecordBatch.from_arrays([names, pa.array(starts + at), pa.array(ends - starts), pa.array(crc, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
-
-    return shards.select("part", "base", "id_list", "blob").mapInArrow(tidied(run), f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
+                start = 0
+                for first in range(0, shard.n, READ):
+                    told = []
+                    for i in range(first, min(first + READ, shard.n)):
+                        end = shard.select(i)
+                        told.append((at + start, end - start, zlib.crc32(shard.ids[start:end].astype("<u4").tobytes())))
+                        start = end
+                    columns = [pa.array(x, pa.int64()) for x in zip(*told, strict=True)]
+                    yield pa.RecordBatch.from_arrays([names.slice(first, READ), *columns], [id_col, "start", "n_tokens", "ids_crc32"])
+
+    return shards.select("part", "base", "id_list", "blob").mapInArrow(tidied(run), f"{quoted(id_col)} {id_type}, start long, n_tokens long, ids_crc32 long")

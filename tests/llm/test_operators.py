@@ -293,7 +293,6 @@ def test_elias_fano_round_trip():
         ids = rnd.integers(0, 49_000 if len(counts) != 300 else 1 << 20, int(counts.sum())).astype(np.uint32)
         blob = token_output.encode_shard(ids, np.cumsum(counts))
         shard = token_output.Shard(blob)
-        assert shard.ends().tolist() == np.cumsum(counts).tolist()
         assert [shard.select(i) for i in range(len(counts))] == np.cumsum(counts).tolist()
         assert np.array_equal(shard.ids, ids)
         if len(counts) == 1000:
@@ -305,12 +304,12 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_path("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
-    df = docs(spark)
+    assert len(plain.encode("a <|endoftext|> b", add_special_tokens=False).ids) == 3
+    df = docs(spark, [*WILD, "a <|endoftext|> b", "x<|STARTOFTEXT|>y", "q<|startoftext|><|endoftext|>", "It's we'll  5a $$$"])
     for shard_ids in (token_output.SHARD_IDS, 50):
         shards = token_output.write_shards(df, public_path("word_bpe_49k.json"), shard_ids=shard_ids)
         got = sorted(token_output.read_documents(shards).collect(), key=lambda r: r.start)
-        rows = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.text or ""))
+        rows = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id))  # repeats here repeat the text too
         at = 0
         for r, g in zip(rows, got, strict=True):
             ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 1]
@@ -319,6 +318,14 @@ def test_token_files(spark):
     assert token_output.read_documents(token_output.write_shards(df.filter("false"), public_path("word_bpe_49k.json"))).collect() == []
 
 
+def test_token_files_of_repeated_ids(spark):
+    """Equal ids lie beside each other across partitions, each text whole."""
+    df = spark.createDataFrame([(i % 3, f"word{i} " * (i % 7)) for i in range(300)], "doc_id long, text string").repartition(8)
+    got = sorted(token_output.read_documents(token_output.write_shards(df, public_path("word_bpe_49k.json"), shard_ids=64)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted([0, 1, 2] * 100)
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
+
+
 def test_encoder_without_lower_casing():
     with open(public_path("word_bpe_49k.json"), encoding="utf-8") as f:
         encoder = token_output.Encoder(f.read(), 1, lower=False)
