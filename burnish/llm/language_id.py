@@ -8,8 +8,9 @@ The classifier is fitted on a bounded sample: about DOCS_PER_LANGUAGE labelled r
 hash of the row (the bound is the parameter docs_per_language).  Prediction covers every row and whole texts.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0; rows without a label never train; with
-no training rows every text is `und`; equal posteriors go to the language that sorts first; repeated rows are
-predicted row by row; an empty table gives an empty result; other columns are ignored (identify) or kept (accepted).
+no training rows every text is `und`; equal posteriors go to the language that sorts first; very long texts are read
+whole, a long word costing time in proportion to its length; repeated rows are predicted row by row; an empty table gives
+an empty result; other columns are ignored (identify) or kept (accepted), whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_slices, materialise, string_array, tidied
-from .lattice import Lattice, load_pieces
+from .lattice import Lattice, Remembered, load_pieces
 from .lm_scoring import count_words, piece_totals, smoothed, words_of
 
 DOCS_PER_LANGUAGE = 1500
@@ -57,11 +58,23 @@ def fit(docs: DataFrame, training: Column, model_path: str, *, lang_col: str = "
     words = materialise(words, "language-words")
     logp = None
     for _ in range(passes + 1):
-        logp, _end = smoothed(piece_totals(words, lattice, logp, len(languages)))
+        logp, _end = smoothed(piece_totals(words, lattice, logp, len(languages))[0])
     prior = np.log(np.array([counts[x] for x in languages]) / sum(counts.values()))
     return LanguageModel(languages, logp, prior, lattice)
 
 
+_KNOWN: dict[int, Remembered] = {}
+
+
+def _remembered(model: LanguageModel) -> Remembered:
+    """One for each model and worker process, so that a task knows the words of those before it."""
+    key = hash((model.logp.tobytes(), tuple(model.languages)))
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = Remembered(model.lattice.value, model.logp)
+    return _KNOWN[key]
+
+
 def _predict(model: LanguageModel, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The number of the best language (-1: none) and its posterior, for each text."""
     plain = string_array(text)
@@ -70,7 +83,7 @@ def _predict(model: LanguageModel, text: pa.Array) -> tuple[np.ndarray, np.ndarr
         return np.full(len(plain), -1), np.zeros(len(plain))
     words, parent = words_of(plain)
     coded = words.dictionary_encode()
-    worth = model.lattice.value.log_probability(coded.dictionary.to_pylist(), model.logp)
+    worth = _remembered(model)(coded.dictionary)
     code = coded.indices.to_numpy()
     total = np.stack([np.bincount(parent, weights=worth[code, m], minlength=len(plain)) for m in range(len(model.languages))], axis=1)
     total = total + model.prior

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -166,15 +168,17 @@ class Lattice:
             out[e.rows] = self._forward(e, logp, self._spelled(e, logp))[-1]
         return out
 
-    def expected(self, words: list[str], weights: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in words (weights: words by models), by forward-backward sums."""
+    def expected(self, words: list[str], weights: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected uses of each piece in words (weights: words by models), by forward-backward sums; the words' log probabilities, summed."""
         total, models = np.zeros(logp.shape), logp.shape[1]
+        likely = np.zeros(models)
         for e in self.edges(words):
             spelled = self._spelled(e, logp)
             alpha = self._forward(e, logp, spelled)
             beta = np.full_like(alpha, -np.inf)
             beta[-1] = 0.0
             weight = weights[e.rows]
+            likely += (alpha[-1] * weight).sum(axis=0)
             for i in range(e.length - 1, -1, -1):
                 for k, ids in e.by_length:
                     if i + k > e.length:
@@ -192,7 +196,7 @@ class Lattice:
                         for r in np.flatnonzero(col < 0).tolist():
                             for b in chr(e.missing[r, i]).encode("utf-8", "surrogatepass"):
                                 total[self.byte_ids[b]] += use[r]
-        return total
+        return total, likely
 
     def occurrences(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """How often each piece matches anywhere in words; where the estimation of piece scores starts."""
@@ -203,3 +207,37 @@ class Lattice:
                 for m in range(weights.shape[1]):
                     total[:, m] += np.bincount(ids[row, at], weights=weights[e.rows[row], m], minlength=self.size)
         return total
+
+
+class Remembered:
+    """Log probabilities of words under fixed piece scores; those of words met before are kept, KEPT words at most."""
+
+    KEPT, KEPT_BYTES = 300_000, 64
+
+    def __init__(self, lattice: Lattice, logp: np.ndarray):
+        self.lattice, self.logp = lattice, logp
+        self.words, self.worth, self.hits = pa.array([], pa.large_string()), np.zeros((0, logp.shape[1])), np.zeros(0, dtype=np.int32)
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        """A row for each of some distinct words."""
+        found = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        fresh = words.take(pa.array(new))
+        out = np.zeros((len(words), self.logp.shape[1]))
+        out[found >= 0] = self.worth[found[found >= 0]]
+        out[new] = self.lattice.log_probability(fresh.to_pylist(), self.logp)
+        self.hits[found[found >= 0]] += 1
+        self._keep(fresh, out[new])
+        return out
+
+    def _keep(self, words: pa.Array, worth: np.ndarray) -> None:
+        short = pc.binary_length(words).to_numpy() <= self.KEPT_BYTES
+        words, worth = words.filter(pa.array(short)), worth[short]
+        if len(self.words) + len(words) > self.KEPT:
+            least = 1
+            while (stays := self.hits >= least).sum() > self.KEPT // 2:
+                least *= 2
+            self.words, self.worth, self.hits = self.words.filter(pa.array(stays)), self.worth[stays], self.hits[stays] // 2
+        room = self.KEPT - len(self.words)
+        self.words, self.worth = pa.concat_arrays([self.words, words[:room]]), np.concatenate([self.worth, worth[:room]])
+        self.hits = np.concatenate([self.hits, np.zeros(len(self.words) - len(self.hits), dtype=np.int32)])

@@ -1,24 +1,29 @@
 """Operator 1, LM scoring: the marginal probability of a text over all segmentations into vocabulary pieces.
 
-The vocabulary is an existing public one; its unigram scores are estimated by expectation-maximisation over the
-table of distinct training words, every pass one distributed sum per piece.  A word's lattice has the edges of all
-pieces that match, an end-of-word edge, and one edge that spans the whole word if training has seen it:
+The vocabulary is an existing public one; its file has no unigram scores, so these are estimated by
+expectation-maximisation over the table of distinct training words, every pass one distributed sum per piece, until the
+words' likelihood settles (SETTLED) or EM_PASSES are made.  A word's lattice has the edges of all pieces that match, an
+end-of-word edge, and one edge that spans the whole word if training has seen it:
 
     P(word) = (c - D) / N + (D V / N) * sum over segmentations of the product of piece scores,
 
-with absolute discount D = n1 / (n1 + 2 n2) from the numbers of words seen once and twice; so unseen words get
-the discounted mass by their spelling and the sum over all texts is at most one.  The sum over segmentations is the
-forward recursion in log space.  A text's score is the sum of its words' log10 P and that of the end token.
+with absolute discount D = (n1 + 1/2) / (n1 + 2 n2 + 1) from the numbers of words seen once and twice, which is below
+one; so unseen words get the discounted mass by their spelling and the sum over all texts is at most one.  The pieces spell
+words that training has not seen, so each distinct word counts once for them.  The sum over segmentations is the forward
+recursion in log space.  A text's score is the sum of its words' log10 P and that of the end token.
 
 Words that are frequent (at most HOT_WORDS of them, a fixed bound) are looked up in the scan; all other words
-are joined to the word table by equality.  Nothing is sampled: counts and scores cover all rows.
+are joined to the word table by equality.  A word of more than KEY_BYTES is named by its SHA-256 there, so hot words are
+found whatever their length.  Nothing is sampled: counts and scores cover all rows.
 
-Defined cases: a null or empty text has no words and one end token; a null id counts as the empty id; repeated rows and
-repeated ids are scored row by row; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has no words and one end token; a null id counts as the empty id; very long texts and
+words are scored whole; one training row is enough and without any, words are worth their spelling by equal pieces;
+repeated rows and repeated ids are scored row by row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,12 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialise, row_id, string_array, tidied
+from .common import bounded_slices, materialise, quoted, row_id, string_array, tidied
 from .lattice import Lattice, load_pieces
 
-#: Words whose counts are sent to every executor; a word takes 64 bytes at most.
-HOT_WORDS, HOT_BYTES = 200_000, 64
-EM_PASSES = 2
+#: Words whose counts are sent to every executor; longer keys than KEY_BYTES are hashed.
+HOT_WORDS, KEY_BYTES = 200_000, 64
+#: Passes after the first guess at most; a gain in log likelihood of less than this share ends them before.
+EM_PASSES, SETTLED = 4, 2e-3
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -79,41 +85,66 @@ def count_words(group: str, most_words: int = 500_000):
     return run
 
 
+def _short_key(word: str) -> str:
+    """The word, or a name for a long one; no word starts with a space."""
+    raw = word.encode("utf-8", "surrogatepass")
+    return word if len(raw) <= KEY_BYTES else f" #{hashlib.sha256(raw).hexdigest()}"
+
+
+def _keys(words: pa.Array) -> pa.Array:
+    """Words as the word table names them."""
+    if not (pc.max(pc.binary_length(words)).as_py() or 0) > KEY_BYTES:
+        return words
+    return pa.array(map(_short_key, words.to_pylist()), words.type)
+
+
 @dataclass
 class Model:
-    """logp: natural log of each piece's score; words: the table (word, n, worth), n uses in training, worth log10 P."""
+    """words: the table (key, n, worth), n uses in training, worth log10 P; word_end and logp: natural logs of the end-of-word edge's and each piece's score."""
 
     logp: np.ndarray
+    word_end: float
     words: DataFrame
     tokens: int
     distinct: int
+    discount: float
+    left: float
     ends: int
     end_worth: float
 
 
-def piece_totals(words: DataFrame, lattice, logp: np.ndarray | None, models: int = 1) -> np.ndarray:
-    """Expected uses of every piece over the table (word, m long, n long), one column for each model m.
+def piece_totals(words: DataFrame, lattice, logp: np.ndarray | None, models: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Expected uses of every piece over the table (word, m long, n long), one column for each model m, and each model's log likelihood.
 
     Without logp, plain occurrence counts.  Each task adds up its own words; a row a piece and model is shuffled
     and at most vocabulary-size times models rows reach the driver, whatever the corpus.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((lattice.value.size, models))
+        total, likely = np.zeros((lattice.value.size, models)), np.zeros(models)
         for batch in batches:
             for part in bounded_slices(batch, "word", 1 << 20):
                 word, place = np.unique(np.array(part.column("word").to_pylist(), dtype=object), return_inverse=True)
                 weights = np.zeros((len(word), models))
                 np.add.at(weights, (place, part.column("m").to_numpy()), part.column("n").to_numpy())
-                total += lattice.value.occurrences(word.tolist(), weights) if logp is None else lattice.value.expected(word.tolist(), weights, logp)
+                if logp is None:
+                    total += lattice.value.occurrences(word.tolist(), weights)
+                else:
+                    uses, found = lattice.value.expected(word.tolist(), weights, logp)
+                    total, likely = total + uses, likely + found
         piece, model = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(model), pa.array(total[piece, model])], ["piece", "model", "uses"])
+        # The likelihood goes as one more piece.
+        rows = [np.r_[piece, np.full(models, -1)], np.r_[model, np.arange(models)], np.r_[total[piece, model], likely]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["piece", "model", "uses"])
 
     rows = words.mapInArrow(tidied(run), "piece long, model long, uses double").groupBy("piece", "model").agg(F.sum("uses").alias("uses")).collect()
-    out = np.zeros((lattice.value.size, models))
+    out, likely = np.zeros((lattice.value.size, models)), np.zeros(models)
     for piece, model, uses in rows:
-        out[piece, model] = uses
-    return out
+        if piece < 0:
+            likely[model] = uses
+        else:
+            out[piece, model] = uses
+    return out, likely
 
 
 def smoothed(totals: np.ndarray, ends: np.ndarray | float = 0.0, add: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
@@ -125,20 +156,25 @@ def smoothed(totals: np.ndarray, ends: np.ndarray | float = 0.0, add: float = 0.
 def fit(docs: DataFrame, training: Column, model_path: str, *, text_col: str = "text", passes: int = EM_PASSES) -> Model:
     spark = docs.sparkSession
     lattice = spark.sparkContext.broadcast(Lattice(*load_pieces(model_path)))
-    source = docs.select(F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).cast("int").cast("long").alias("train"))
+    source = docs.select(F.col(quoted(text_col)).alias("text"), F.coalesce(training, F.lit(False)).cast("int").cast("long").alias("train"))
     ends = source.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
     counted = source.mapInArrow(tidied(count_words("train")), "word string, train long, n long")
     words = materialise(counted.groupBy("word").agg(F.sum(F.col("n") * F.col("train")).alias("n")), "lm-words")
     seen = F.when(F.col("n") > 0, 1)
     tokens, types, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(seen), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
     total, distinct = tokens + ends, types + int(ends > 0)
-    discount = once / (once + 2 * twice) if once else 0.5
+    discount = (once + 0.5) / (once + 2 * twice + 1)
     left = discount * distinct / total if total else 1.0
-    # Every distinct word counts once here: the pieces spell the words that training has not seen.
     spelt = words.filter("n > 0").select("word", F.lit(0).cast("long").alias("m"), F.lit(1).cast("long").alias("n"))
-    logp, end = None, None
+    logp, end, before = None, None, -math.inf
     for _ in range(passes + 1):
-        logp, end = smoothed(piece_totals(spelt, lattice, logp), float(types))
+        uses, likely = piece_totals(spelt, lattice, logp)
+        first, gain = logp is None, float(likely[0]) - before
+        logp, end = smoothed(uses, float(types))
+        if not first:
+            if gain < SETTLED * abs(float(likely[0])):
+                break
+            before = float(likely[0])
     word_end, pieces = float(np.ravel(end)[0]), logp
 
     def lattice_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,26 +184,26 @@ def fit(docs: DataFrame, training: Column, model_path: str, *, text_col: str = "
                 whole = np.maximum(part.column("n").to_numpy() - discount, 0.0) / max(total, 1)
                 with np.errstate(divide="ignore"):
                     worth = np.logaddexp(spelling, np.log(whole)) / math.log(10)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(worth)], ["word", "n", "worth"])
+                yield pa.RecordBatch.from_arrays([_keys(part.column("word")), part.column("n"), pa.array(worth)], ["key", "n", "worth"])
 
-    scored = materialise(words.mapInArrow(tidied(lattice_scores), "word string, n long, worth double"), "lm-scores")
+    scored = materialise(words.mapInArrow(tidied(lattice_scores), "key string, n long, worth double"), "lm-scores")
     end_worth = math.log10((ends - discount) / total) if ends else math.log10(left) + word_end / math.log(10)
-    return Model(pieces[:, 0], scored, total, distinct, ends, end_worth)
+    return Model(pieces[:, 0], word_end, scored, total, distinct, discount, left, ends, end_worth)
 
 
 def hot_words(words: DataFrame, most: int = HOT_WORDS) -> pa.Table:
     """The words at or above the lowest count that at most `most` words reach."""
-    short = words.filter((F.col("n") > 0) & (F.octet_length("word") <= HOT_BYTES))
+    seen = words.filter("n > 0")
     # Counts are put in classes of one sixteenth of a power of two, of which there are at most about a thousand.
     grade = F.floor(F.log2("n") * 16)
     total, least = 0, None
-    for g, n in sorted(map(tuple, short.groupBy(grade.alias("g")).count().collect()), reverse=True):
+    for g, n in sorted(map(tuple, seen.groupBy(grade.alias("g")).count().collect()), reverse=True):
         if total + n > most:
             break
         total, least = total + n, g
     if least is None:
-        return pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "worth": pa.array([], pa.float64())})
-    return short.filter(grade >= least).toArrow()
+        return pa.table({"key": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "worth": pa.array([], pa.float64())})
+    return seen.filter(grade >= least).toArrow()
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_WORDS) -> DataFrame:
@@ -178,14 +214,15 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     end_base, end_known, end_score = math.log10(model.ends + 1) + low, int(model.ends > 0), model.end_worth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = common.value["word"].combine_chunks().cast(pa.large_string())
+        names = common.value["key"].combine_chunks().cast(pa.large_string())
         count = common.value["n"].to_numpy()
         base, worth = np.log10(count + 1.0), common.value["worth"].to_numpy()
         for batch in batches:
             for part in bounded_slices(batch, "text"):
                 words, parent = words_of(part.column("text"))
                 rows, coded = part.num_rows, words.dictionary_encode()
-                at = pc.fill_null(pc.index_in(coded.dictionary, names), -1).to_numpy()
+                keys = _keys(coded.dictionary)
+                at = pc.fill_null(pc.index_in(keys, names), -1).to_numpy()
                 code = coded.indices.to_numpy()
                 place = at[code] if len(at) else np.zeros(0, dtype=np.int64)
                 hit = place >= 0
@@ -202,13 +239,13 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 for start in range(0, len(pair), 20_000):
                     p, t = pair[start : start + 20_000], times[start : start + 20_000]
                     gaps = [pa.nulls(len(p), kind) for kind in (part.column("id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[p // (len(at) + 1)]), coded.dictionary.take(pa.array(p % (len(at) + 1))).cast(pa.string()), pa.array(t), *gaps], NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[p // (len(at) + 1)]), keys.take(pa.array(p % (len(at) + 1))).cast(pa.string()), pa.array(t), *gaps], NAMES)
 
-    NAMES = ["rid", "word", "times", "id", "n_tokens", "n_known", "base", "score"]
+    NAMES = ["rid", "key", "times", "id", "n_tokens", "n_known", "base", "score"]
     id_type = docs.schema[id_col].dataType.simpleString()
-    kept = docs.select(row_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = kept.mapInArrow(tidied(run), f"rid long, word string, times long, id {id_type}, n_tokens long, n_known long, base double, score double")
-    joined = parts.join(model.words.withColumnRenamed("n", "c"), "word", "left")
+    kept = docs.select(row_id().alias("rid"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    parts = kept.mapInArrow(tidied(run), f"rid long, key string, times long, id {id_type}, n_tokens long, n_known long, base double, score double")
+    joined = parts.join(model.words.withColumnRenamed("n", "c"), "key", "left")
     c = F.coalesce("c", F.lit(0))
     return (
         joined.groupBy("rid")

@@ -1,8 +1,10 @@
 """Near copies for the pipeline: texts whose sets of word shingles have a Jaccard similarity of LEAST_ALIKE or more.
 
-Candidates share a MinHash band: BANDS bands of EACH minima each.  A pair at a similarity of 0.8 shares none of them with
-a probability of (1 - 0.8 ** 5) ** 40, about 1 in 8 million, and a closer pair more rarely.  Every link is verified on the
-whole shingle sets (of 64-bit hashes).
+Candidates come from operator 10 first: SimHash fingerprints of the shingle sets, linked through deletion-variant
+signatures.  These reach two bits, and fingerprints of texts at a similarity of 0.8 often differ by up to eleven, which no
+choice of segments finds without meeting nearly everything.  So texts also are candidates if they share a MinHash band:
+BANDS bands of EACH minima each, of which a pair at 0.8 shares none with a probability of (1 - 0.8 ** 4) ** 28, about 1
+in 2.5 million, and a closer pair more rarely.  Every link is verified on the whole shingle sets (of 64-bit hashes).
 
 A band's members are not all compared: first each with the band's smallest, then each with its largest, and components
 are formed of the links found.  Members of bands that still hold several components are then joined by their rarest
@@ -10,8 +12,9 @@ shingles (prefix filter), which misses no pair, so the components are those of a
 large group of near copies nor a common passage costs the square of its size.
 
 Defined cases: words are split at ASCII white space and A-Z lowered; fewer than WORDS_EACH words make one shingle; texts
-without words (null ones too) are copies of each other and of nothing else; a null id comes after all others; repeated
-rows are copies; an empty table gives an empty result.
+without words (null ones too) are copies of each other and of nothing else; very long texts are read whole, their shingles
+one array in memory; a null id comes after all others; repeated rows are copies; an empty table gives an empty result;
+other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import bounded_slices, materialise, string_array, tidied
+from . import simhash
+from .common import bounded_slices, content_key, materialise, quoted, sized, string_array, tidied, unused
 from .simhash import components
 
 SEED = 42
 WORDS_EACH = 5
 #: As a fraction, so that the comparison is of whole numbers.
 LEAST_ALIKE = (4, 5)
-BANDS, EACH = 40, 5
+BANDS, EACH = 28, 4
 #: Shingles whose minima are taken at once.
 CHUNK = 1 << 10
 
@@ -77,6 +81,15 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return made
 
 
+def fingerprint_of(shingles: np.ndarray) -> int:
+    """Majority bits of the set's hashes; zero without any."""
+    ones = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(shingles), 1 << 16):
+        some = shingles[start : start + (1 << 16)]
+        ones += np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
     flat = np.concatenate(values) if values else np.zeros(0, dtype=np.uint64)
@@ -99,10 +112,11 @@ def _over_shingles(rows: DataFrame, added: StructType, columns) -> DataFrame:
 
 def _marks(sets: list[np.ndarray]) -> list[pa.Array]:
     keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-    return [pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), _lists([bands_of(s) for s in sets])]
+    prints = np.array([fingerprint_of(s) for s in sets], dtype=np.uint64).view(np.int64)
+    return [pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints), _lists([bands_of(s) for s in sets])]
 
 
-_MARKS = StructType([StructField("key", LongType()), StructField("n", IntegerType()), StructField("bands", ArrayType(LongType()))])
+_MARKS = StructType([StructField("key", LongType()), StructField("n", IntegerType()), StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))])
 _SETS = StructType([StructField("shingles", ArrayType(LongType()))])
 
 
@@ -126,20 +140,33 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, nodes["key"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "key").alias("root"))
 
 
+def _by_signatures(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints are equal or linked by operator 10, of sizes that can be alike enough."""
+    one = F.struct("key", "n")
+    prints = materialise(distinct.filter("n > 0").groupBy("fp").agg(F.min(one).alias("low")), "copies-prints")
+    equal = distinct.join(prints, "fp").select(one.alias("x"), F.col("low").alias("y"))
+    linked = simhash.links(prints.select("fp"))
+    near = linked.join(prints.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+    pairs = equal.union(near).filter((F.col("x.key") != F.col("y.key")) & _may_link(F.col("x.n"), F.col("y.n")))
+    return materialise(pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")), "copies-signed")
+
+
 def _links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified pairs that between them connect all linked keys of distinct (key, n, bands, place); texts has place and text."""
+    """Verified pairs that between them connect all linked keys of distinct (key, n, fp, bands, place); texts has place and text."""
+    signed = _by_signatures(distinct)
     indexed = distinct.select("key", "n", F.explode("bands").alias("sig"))
     by_sig = indexed.groupBy("sig").agg(F.count("*").alias("members"), F.min(F.struct("key", "n")).alias("low"), F.max(F.struct("key", "n")).alias("high")).filter("members > 1")
     shared = materialise(indexed.join(by_sig, "sig"), "copies-shared")
     # Sets are made again for candidates alone: those of all texts would take more room than the texts.
-    wanted = shared.select("key").distinct().join(distinct.select("key", "place"), "key").select("key", "place.*")
+    keys = shared.select("key").union(signed.select("a")).union(signed.select("b"))
+    wanted = keys.distinct().join(distinct.select("key", "place"), "key").select("key", "place.*")
     sets = materialise(_over_shingles(texts.join(wanted, ["h", "g"]).select("key", "text").dropDuplicates(["key"]), _SETS, lambda s: [_lists(s)]), "copies-sets")
 
     def starred(end: str) -> DataFrame:
         pairs = shared.filter((F.col("key") != F.col(f"{end}.key")) & _may_link(F.col("n"), F.col(f"{end}.n")))
         return pairs.select(F.least("key", f"{end}.key").alias("a"), F.greatest("key", f"{end}.key").alias("b"))
 
-    stars = materialise(_verified(starred("low").union(starred("high")).distinct(), sets), "copies-stars")
+    stars = materialise(_verified(signed.union(starred("low")).union(starred("high")).distinct(), sets), "copies-stars")
     told = _rooted(shared.select("sig", "key"), stars)
     spread = told.groupBy("sig").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("sig")
     open_ = materialise(told.join(spread, "sig").select("key", "root").distinct(), "copies-open")
@@ -171,14 +198,14 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A row is known by two hashes of its id and text; of rows that repeat both, any one stays.
     """
-    h, g = F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col, F.lit(1))
-    texts = docs.select(F.col(id_col).alias("id"), h.alias("h"), g.alias("g"), F.col(text_col).alias("text"))
+    h, g = content_key(id_col, text_col)
+    texts = docs.select(F.col(quoted(id_col)).alias("id"), h.alias("h"), g.alias("g"), F.col(quoted(text_col)).alias("text"))
     marked = materialise(_over_shingles(texts, _MARKS, _marks), "copies-rows")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h", "g")
-    distinct = marked.groupBy("key").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = marked.groupBy("key").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     distinct = materialise(distinct.withColumn("place", F.struct("first.h", "first.g")), "copies-distinct")
     rooted = _rooted(distinct.select("key", "first"), _links(distinct, texts.select("h", "g", "text")))
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.h").alias("_copies_h"), F.col("first.g").alias("_copies_g"))
-    rows = docs.withColumn("_copies_h", h).withColumn("_copies_g", g)
-    names = ["_copies_h", "_copies_g"]
-    return rows.join(chosen, names, "left_semi").dropDuplicates(names).drop(*names)
+    names = [unused(docs.columns, f"_copies_{c}") for c in "hg"]
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.h").alias(names[0]), F.col("first.g").alias(names[1]))
+    rows = docs.withColumn(names[0], h).withColumn(names[1], g).join(sized(materialise(chosen, "copies-chosen")), names, "left_semi")
+    return rows.dropDuplicates(names).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -1,6 +1,6 @@
 """Operator 10, SimHash near-duplicates: deletion-variant signatures over two segments.
 
-Fingerprints of 64 bits link when at most two bits differ.  Cut into two segments of 32 bits, one segment of a linked
+Fingerprints of 64 bits link when at most DIFFERING = 2 bits differ; the segments are made for that number.  Cut into two segments of 32 bits, one segment of a linked
 pair differs by at most one bit, so the two share a signature: that segment with some one bit made a wildcard.
 Distinct fingerprints are indexed under their 64 signatures, met by equality, and verified on all bits.
 
@@ -12,8 +12,9 @@ Classes are the connected components of the links, found by alternating star con
 links, components or fingerprints reach the driver.
 
 Defined cases: a null text, or one without words, has fingerprint zero, linked like any other; fewer than three words make
-one shingle; repeated rows share a fingerprint and a class; a null id takes no part in the choice of the smallest id
-(a class of null ids only has a null class id); an empty table gives an empty result; other columns are ignored.
+one shingle; very long texts are read whole; repeated rows share a fingerprint and a class; a null id takes no part in the choice of the smallest id
+(a class of null ids only has a null class id); an empty table gives an empty result; other columns are ignored
+(near_duplicates) or kept (representatives), whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_slices, materialise, string_array, tidied
+from .common import bounded_slices, content_key, materialise, quoted, string_array, tidied, unused
 
 SEED = 42
+DIFFERING = 2
 #: Above so many fingerprints to a signature, pairs give way to one-bit neighbours.
 CROWD = 16
 #: Shingles whose bits are counted at once.
@@ -81,7 +83,7 @@ def _neighbours(fp: Column) -> Column:
     return F.array(fp, *[fp.bitwiseXOR(F.lit(x).cast("long")) for x in flips])
 
 
-def links(fps: DataFrame, *, differing: int = 2, crowd: int = CROWD) -> DataFrame:
+def links(fps: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that between them connect all that link."""
     indexed = fps.select("fp", F.explode(_signatures(F.col("fp"))).alias("sig"))
     # One shuffle of the index: a signature of one fingerprint only is dropped where it arrives.
@@ -91,7 +93,7 @@ def links(fps: DataFrame, *, differing: int = 2, crowd: int = CROWD) -> DataFram
     # Pairs are verified in the array, and a pair with an equal segment counts under the segment's first signature alone.
     pairs = F.expr(f"""
         flatten(transform(members, (a, i) -> transform(filter(slice(members, i + 2, size(members)), b ->
-            bit_count(a ^ b) <= {int(differing)} AND (((sig >> 32) & 31) = 0 OR ((a ^ b) >> CAST(sig >> 32 AS INT)) & 1 = 1)), b -> struct(a, b))))
+            bit_count(a ^ b) <= {DIFFERING} AND (((sig >> 32) & 31) = 0 OR ((a ^ b) >> CAST(sig >> 32 AS INT)) & 1 = 1)), b -> struct(a, b))))
     """)
     verified = met.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
     # Members of crowds: found through their signatures, then linked through shared one-bit neighbours.
@@ -126,36 +128,36 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def classes(fps: DataFrame, *, differing: int = 2, crowd: int = CROWD) -> DataFrame:
+def classes(fps: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """(fp, root) for each value of fps (fp, distinct): equal roots for linked fingerprints."""
-    roots = components(links(fps.select("fp"), differing=differing, crowd=crowd))
+    roots = components(links(fps.select("fp"), crowd=crowd))
     return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, differing: int = 2, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, crowd: int = CROWD) -> DataFrame:
     """The id, fp and component_id (smallest id of the class) of each row."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     marked = materialise(fingerprinted(source, text_col="text", words_each=words_each, name="fp").drop("text"), "simhash-fp")
     distinct = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    rooted = distinct.join(classes(distinct.select("fp"), differing=differing, crowd=crowd), "fp")
+    rooted = distinct.join(classes(distinct.select("fp"), crowd=crowd), "fp")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, differing: int = 2, crowd: int = CROWD) -> DataFrame:
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, crowd: int = CROWD) -> DataFrame:
     """One row of each class, columns as they are: a row with the class's smallest id, null ids after all others.
 
-    A row is known by its id and a hash of its text, so what is kept for the choice is small; of rows that repeat both,
-    any one stays.
+    A row is known by two hashes of its id and text, so what is kept for the choice is small; of rows that repeat both, any
+    one stays.
     """
-    content = F.xxhash64(text_col)
-    source = docs.select(F.col(id_col).alias("id"), content.alias("content"), F.col(text_col).alias("text"))
+    h, g = content_key(id_col, text_col)
+    source = docs.select(F.col(quoted(id_col)).alias("id"), h.alias("h"), g.alias("g"), F.col(quoted(text_col)).alias("text"))
     marked = materialise(fingerprinted(source, text_col="text", words_each=words_each, name="fp").drop("text"), "simhash-rows")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "content")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h", "g")
     distinct = materialise(marked.groupBy("fp").agg(F.min(order).alias("first")), "simhash-first")
-    rooted = distinct.join(classes(distinct.select("fp"), differing=differing, crowd=crowd), "fp")
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_simhash_id"), F.col("first.content").alias("_simhash_content"))
-    rows = docs.withColumn("_simhash_content_of", content)
-    same = rows[id_col].eqNullSafe(chosen["_simhash_id"]) & (rows["_simhash_content_of"] == chosen["_simhash_content"])
-    return rows.join(chosen, same, "left_semi").dropDuplicates([id_col, "_simhash_content_of"]).drop("_simhash_content_of")
+    rooted = distinct.join(classes(distinct.select("fp"), crowd=crowd), "fp")
+    names = [unused(docs.columns, f"_simhash_{c}") for c in "hg"]
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.h").alias(names[0]), F.col("first.g").alias(names[1]))
+    rows = docs.withColumn(names[0], h).withColumn(names[1], g).join(chosen, names, "left_semi")
+    return rows.dropDuplicates(names).select(*[F.col(quoted(c)) for c in docs.columns])
