@@ -1,7 +1,13 @@
 """From documents to training files: language ID, near-dedup, decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
-columns of documents.
+columns of documents, whatever others there are beside doc_id, text and lang.
+
+Defined cases: a null text, or one without letters, is of no known language and goes in the first stage; a null doc_id
+stays a row, after all others where one of near copies is chosen and before all others in the token files; a null lang
+never trains; of repeated rows and near copies one stays, that with the smallest id; very long texts are read whole in
+every stage; an empty table of documents gives no rows, an empty benchmark takes none, and without labels all rates are
+one.  Each stage's rows are written before the next one starts.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from burnish.llm import decontaminate, language_id, mixing, near_copies, token_output
-from burnish.llm.common import shared_dir, table
+from burnish.llm.common import table, work_dir, written
 from burnish.llm.queries import id_remainder, public_path
 
 
@@ -22,7 +28,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by five-word shingles: that with the smallest id."""
+    """One document of each group of near copies: that with the smallest id.
+
+    Operator 10's signatures over fingerprints of five-word shingles, MinHash bands for pairs beyond their reach, and
+    every link verified at a Jaccard similarity of 0.8.
+    """
     return near_copies.representatives(docs)
 
 
@@ -56,9 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    where = f"{shared_dir(spark)}/burnish-{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
+    where = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{where}/{i}")
-        docs = spark.read.schema(out.schema).parquet(f"{where}/{i}")
+        docs = written(stage(spark, docs, sf_dir), f"{where}/{i}")
     return docs
