@@ -8,8 +8,9 @@ in 2.5 million, and a closer pair more rarely.  Every link is verified on the wh
 
 A band's members are not all compared: first each with the band's smallest, then each with its largest, and components
 are formed of the links found.  Members of bands that still hold several components are then joined by their rarest
-shingles (prefix filter), which misses no pair, so the components are those of all links among candidates, and neither a
-large group of near copies nor a common passage costs the square of its size.
+shingles (prefix filter), which misses no pair, so the components are those of all links among candidates.  There too
+members are compared with a few of their list before what is left is compared whole, so neither a large group of near
+copies nor a common passage costs the square of its size.
 
 Defined cases: words are split at ASCII white space and A-Z lowered; fewer than WORDS_EACH words make one shingle; texts
 without words (null ones too) are copies of each other and of nothing else; very long texts are read whole, their shingles
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
@@ -37,6 +38,8 @@ WORDS_EACH = 5
 #: As a fraction, so that the comparison is of whole numbers.
 LEAST_ALIKE = (4, 5)
 BANDS, EACH = 28, 4
+#: Rounds at most before what is left is compared whole, and members of a list to compare with in the first.
+ROUNDS, CENTRES = 4, 8
 #: Shingles whose minima are taken at once.
 CHUNK = 1 << 10
 
@@ -170,11 +173,11 @@ def _links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     told = _rooted(shared.select("sig", "key"), stars)
     spread = told.groupBy("sig").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("sig")
     open_ = materialise(told.join(spread, "sig").select("key", "root").distinct(), "copies-open")
-    return stars.union(_verified(_across(open_, sets), sets))
+    return stars.union(_across(open_, sets))
 
 
-def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of keys with different roots that may link: all that share one of the rarest shingles of each.
+def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, root, n, rest, s): the rarest shingles of each open key, so many that near copies share one of them.
 
     Of n shingles in any common order, n less LEAST_ALIKE of them and one more hold one that every near copy has among
     its own.  Rarest first, a passage that many texts share makes no pairs.
@@ -186,11 +189,47 @@ def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
     first = F.col("n") - F.ceil(F.col("n") * up / down).cast("int") + 1
     placed = ordered.select("key", "root", "n", F.posexplode(F.slice("all", F.lit(1), first)).alias("i", "w"))
     # rest: the shingle itself and those after it, the most that two sets can share if this is the first they do.
-    rare = materialise(placed.filter("w.often > 1").select("key", "root", "n", (F.col("n") - F.col("i")).alias("rest"), "w.s"), "copies-rare")
+    return materialise(placed.filter("w.often > 1").select("key", "root", "n", (F.col("n") - F.col("i")).alias("rest"), "w.s"), "copies-rare")
+
+
+def _may_share(left: str, right: str) -> Column:
+    """Members of a shingle's list (columns named with these endings) that have different roots and can be alike enough."""
+    up, down = LEAST_ALIKE
+    a, b = (lambda c: F.col(f"{c}{left}")), (lambda c: F.col(f"{c}{right}"))
+    enough = F.least(a("rest"), b("rest")) * (up + down) >= (a("n") + b("n")) * up
+    return (a("root") != b("root")) & _may_link(a("n"), b("n")) & enough
+
+
+def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified pairs that connect all open keys (key, root) which link across roots.
+
+    First, in rounds, each member of a shingle's list is compared with a few of the list's most frequent root only, CENTRES
+    and in each round four times as many, and roots that turn out linked become one.  What is left, all pairs of different roots
+    in one list, is then compared whole, so the rounds decide how much there is to compare, not what is found.
+    """
+    rare = _rarest(open_, sets)
+    links = None
+    for r in range(ROUNDS):
+        by_root = rare.groupBy("s", "root").agg(F.count("*").alias("members"))
+        best = by_root.groupBy("s").agg(F.count("*").alias("roots"), F.max(F.struct("members", "root")).alias("best")).filter("roots > 1").select("s", "best.root")
+        drawn = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("key", "s", F.lit(r)), "key"))
+        centres = rare.join(best, ["s", "root"]).withColumn("place", drawn).filter(F.col("place") <= CENTRES << 2 * r)
+        centres = centres.select("s", *[F.col(x).alias(f"{x}_c") for x in ("key", "root", "n", "rest")])
+        met = rare.join(centres, "s").filter(_may_share("", "_c"))
+        pairs = met.select(F.least("key", "key_c").alias("a"), F.greatest("key", "key_c").alias("b")).distinct()
+        found = materialise(_verified(pairs, sets), f"copies-round-{r}")
+        if not found.count():
+            break
+        links = found if links is None else links.union(found)
+        names = rare.select("key", "root").distinct()
+        joined = found.join(names.select(F.col("key").alias("a"), F.col("root").alias("x")), "a").join(names.select(F.col("key").alias("b"), F.col("root").alias("y")), "b")
+        merged = components(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct())
+        rare = rare.join(merged, rare["root"] == merged["node"], "left").select("key", F.coalesce(merged["root"], rare["root"]).alias("root"), "n", "rest", "s")
+        rare = materialise(rare, f"copies-rare-{r}")
     left, right = (rare.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "root", "n", "rest")]) for k in "ab")
-    enough = F.least("rest_a", "rest_b") * (up + down) >= (F.col("n_a") + F.col("n_b")) * up
-    may = (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(F.col("n_a"), F.col("n_b")) & enough
-    return left.join(right, "s").filter(may).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    pairs = left.join(right, "s").filter((F.col("key_a") < F.col("key_b")) & _may_share("_a", "_b"))
+    last = _verified(pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), sets)
+    return last if links is None else links.union(last)
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
