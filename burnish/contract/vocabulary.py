@@ -1,4 +1,7 @@
-"""The closed vocabulary of contracts, and the one place where defaults live."""
+"""The closed vocabulary of contracts, and the one place where defaults live.
+
+Fixed values throughout: names and defaults are the public format of contracts.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,9 @@ from types import MappingProxyType
 from typing import Any
 
 
+ENGINE_VERSION = "0.1.0"
+
+
 class ParserType(str, Enum):
     STRING = "string"
     BYTE = "byte"

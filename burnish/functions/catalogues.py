@@ -14,78 +14,101 @@ FREQUENCIES = {
 BUSINESS_TERMS = {"fhlb": "FHLB", "p&i": "P&I", "ust": "UST", "rcf": "RCF", "cmt": "CMT"}
 MIXED_TERMS = {"lihtc": "LIHTC", "pud": "PUD", "sfr": "SFR", "mh": "MH"}
 
-# Postal directionals, street suffixes and unit designators, as output: inputs.
+# Spellings of postal directionals, street suffixes and unit designators.
 DIRECTIONALS = {
     "n": "N", "north": "N", "s": "S", "south": "S", "e": "E", "east": "E", "w": "W", "west": "W",
     "ne": "NE", "northeast": "NE", "nw": "NW", "northwest": "NW", "se": "SE", "southeast": "SE", "sw": "SW", "southwest": "SW",
 }
-_SUFFIX_SPELLINGS = {
-    "Aly": "alley aly", "Ave": "avenue av ave", "Blvd": "boulevard blvd", "Ctr": "center centre ctr", "Cir": "circle cir", "Ct": "court ct",
-    "Cv": "cove cv", "Xing": "crossing xing", "Dr": "drive dr", "Expy": "expressway expy", "Fwy": "freeway fwy", "Gdns": "gardens gdns",
-    "Hwy": "highway hwy", "Jct": "junction jct", "Ln": "lane ln", "Loop": "loop", "Park": "park", "Pkwy": "parkway pkwy", "Pl": "place pl",
-    "Plz": "plaza plz", "Rd": "road rd", "Rte": "route rte", "Sq": "square sq", "St": "street str st", "Ter": "terrace ter", "Trl": "trail trl",
-    "Tpke": "turnpike tpke", "Way": "way",
+SUFFIXES = {
+    "alley": "Aly", "aly": "Aly", "avenue": "Ave", "av": "Ave", "ave": "Ave", "boulevard": "Blvd", "blvd": "Blvd", "center": "Ctr", "centre": "Ctr",
+    "ctr": "Ctr", "circle": "Cir", "cir": "Cir", "court": "Ct", "ct": "Ct", "cove": "Cv", "cv": "Cv", "crossing": "Xing", "xing": "Xing",
+    "drive": "Dr", "dr": "Dr", "expressway": "Expy", "expy": "Expy", "freeway": "Fwy", "fwy": "Fwy", "gardens": "Gdns", "gdns": "Gdns",
+    "highway": "Hwy", "hwy": "Hwy", "junction": "Jct", "jct": "Jct", "lane": "Ln", "ln": "Ln", "loop": "Loop", "park": "Park", "parkway": "Pkwy",
+    "pkwy": "Pkwy", "place": "Pl", "pl": "Pl", "plaza": "Plz", "plz": "Plz", "road": "Rd", "rd": "Rd", "route": "Rte", "rte": "Rte", "square": "Sq",
+    "sq": "Sq", "street": "St", "str": "St", "st": "St", "terrace": "Ter", "ter": "Ter", "trail": "Trl", "trl": "Trl", "turnpike": "Tpke",
+    "tpke": "Tpke", "way": "Way",
 }
-_UNIT_SPELLINGS = {
-    "Apt": "apartment apt", "Bldg": "building bldg", "Box": "box", "Dept": "department dept", "Fl": "floor fl", "Hngr": "hangar hngr", "Lot": "lot",
-    "PO": "po", "Rm": "room rm", "RR": "rr", "Ste": "suite ste", "Trlr": "trailer trlr", "Unit": "unit", "US": "us",
+UNITS = {
+    "apartment": "Apt", "apt": "Apt", "building": "Bldg", "bldg": "Bldg", "box": "Box", "department": "Dept", "dept": "Dept", "floor": "Fl",
+    "fl": "Fl", "hangar": "Hngr", "hngr": "Hngr", "lot": "Lot", "po": "PO", "room": "Rm", "rm": "Rm", "rr": "RR", "suite": "Ste", "ste": "Ste",
+    "trailer": "Trlr", "trlr": "Trlr", "unit": "Unit", "us": "US",
 }
-SUFFIXES = {spelling: out for out, spellings in _SUFFIX_SPELLINGS.items() for spelling in spellings.split()}
-UNITS = {spelling: out for out, spellings in _UNIT_SPELLINGS.items() for spelling in spellings.split()}
 NAME_EXCEPTIONS = {"dekalb": "DeKalb", "delacruz": "DeLaCruz", "desoto": "DeSoto", "dupage": "DuPage", "lasalle": "LaSalle", "mchenry": "McHenry", "mclean": "McLean"}
 
-# Postal codes of states and territories, with names and conventional abbreviations.
-_STATES = {
-    "AL": "alabama, ala", "AK": "alaska", "AZ": "arizona, ariz", "AR": "arkansas, ark", "CA": "california, calif", "CO": "colorado, colo",
-    "CT": "connecticut, conn", "DE": "delaware, del", "FL": "florida, fla", "GA": "georgia", "HI": "hawaii", "ID": "idaho", "IL": "illinois, ill",
-    "IN": "indiana, ind", "IA": "iowa", "KS": "kansas, kan, kans", "KY": "kentucky", "LA": "louisiana", "ME": "maine", "MD": "maryland",
-    "MA": "massachusetts, mass", "MI": "michigan, mich", "MN": "minnesota, minn", "MS": "mississippi, miss", "MO": "missouri",
-    "MT": "montana, mont", "NE": "nebraska, neb, nebr", "NV": "nevada, nev", "NH": "new hampshire", "NJ": "new jersey",
-    "NM": "new mexico, n mex", "NY": "new york", "NC": "north carolina", "ND": "north dakota, n dak", "OH": "ohio", "OK": "oklahoma, okla",
-    "OR": "oregon, ore, oreg", "PA": "pennsylvania", "RI": "rhode island", "SC": "south carolina", "SD": "south dakota, s dak",
-    "TN": "tennessee, tenn", "TX": "texas, tex", "UT": "utah", "VT": "vermont", "VA": "virginia", "WA": "washington, wash",
-    "WV": "west virginia, w va, wva", "WI": "wisconsin, wis, wisc", "WY": "wyoming, wyo",
-    "DC": "district of columbia, washington dc, washington d c", "AS": "american samoa", "GU": "guam",
-    "MP": "northern mariana islands, commonwealth of the northern mariana islands", "PR": "puerto rico",
-    "VI": "virgin islands, us virgin islands, united states virgin islands",
+# Postal codes of states and territories by code, name and conventional abbreviations, lower case and without periods.
+STATES = {
+    "al": "AL", "alabama": "AL", "ala": "AL", "ak": "AK", "alaska": "AK", "az": "AZ", "arizona": "AZ", "ariz": "AZ", "ar": "AR", "arkansas": "AR",
+    "ark": "AR", "ca": "CA", "california": "CA", "calif": "CA", "co": "CO", "colorado": "CO", "colo": "CO", "ct": "CT", "connecticut": "CT",
+    "conn": "CT", "de": "DE", "delaware": "DE", "del": "DE", "fl": "FL", "florida": "FL", "fla": "FL", "ga": "GA", "georgia": "GA", "hi": "HI",
+    "hawaii": "HI", "id": "ID", "idaho": "ID", "il": "IL", "illinois": "IL", "ill": "IL", "in": "IN", "indiana": "IN", "ind": "IN", "ia": "IA",
+    "iowa": "IA", "ks": "KS", "kansas": "KS", "kan": "KS", "kans": "KS", "ky": "KY", "kentucky": "KY", "la": "LA", "louisiana": "LA", "me": "ME",
+    "maine": "ME", "md": "MD", "maryland": "MD", "ma": "MA", "massachusetts": "MA", "mass": "MA", "mi": "MI", "michigan": "MI", "mich": "MI",
+    "mn": "MN", "minnesota": "MN", "minn": "MN", "ms": "MS", "mississippi": "MS", "miss": "MS", "mo": "MO", "missouri": "MO", "mt": "MT",
+    "montana": "MT", "mont": "MT", "ne": "NE", "nebraska": "NE", "neb": "NE", "nebr": "NE", "nv": "NV", "nevada": "NV", "nev": "NV", "nh": "NH",
+    "new hampshire": "NH", "nj": "NJ", "new jersey": "NJ", "nm": "NM", "new mexico": "NM", "n mex": "NM", "ny": "NY", "new york": "NY", "nc": "NC",
+    "north carolina": "NC", "nd": "ND", "north dakota": "ND", "n dak": "ND", "oh": "OH", "ohio": "OH", "ok": "OK", "oklahoma": "OK", "okla": "OK",
+    "or": "OR", "oregon": "OR", "ore": "OR", "oreg": "OR", "pa": "PA", "pennsylvania": "PA", "ri": "RI", "rhode island": "RI", "sc": "SC",
+    "south carolina": "SC", "sd": "SD", "south dakota": "SD", "s dak": "SD", "tn": "TN", "tennessee": "TN", "tenn": "TN", "tx": "TX", "texas": "TX",
+    "tex": "TX", "ut": "UT", "utah": "UT", "vt": "VT", "vermont": "VT", "va": "VA", "virginia": "VA", "wa": "WA", "washington": "WA", "wash": "WA",
+    "wv": "WV", "west virginia": "WV", "w va": "WV", "wva": "WV", "wi": "WI", "wisconsin": "WI", "wis": "WI", "wisc": "WI", "wy": "WY",
+    "wyoming": "WY", "wyo": "WY", "dc": "DC", "district of columbia": "DC", "washington dc": "DC", "washington d c": "DC", "as": "AS",
+    "american samoa": "AS", "gu": "GU", "guam": "GU", "mp": "MP", "northern mariana islands": "MP",
+    "commonwealth of the northern mariana islands": "MP", "pr": "PR", "puerto rico": "PR", "vi": "VI", "virgin islands": "VI",
+    "us virgin islands": "VI", "united states virgin islands": "VI",
 }
 
-
-@cache
-def states() -> dict[str, str]:
-    """Every accepted spelling, lower case and without periods, to its code."""
-    return {spelling: code for code, names in _STATES.items() for spelling in (code.lower(), *names.split(", "))}
-
-
-# Tenor units (canonical unit, spellings, what may stand between number and unit).
-TENOR_UNITS = (
-    ("month", "months?|mos?|m", "[ -]?"),
-    ("year", "years?|yrs?|y", "[ -]?"),
-    ("day", "days?", "[ -]"),
-    ("week", "weeks?", "[ -]"),
-)
-# Rate families with what may follow them; those in _SEPARATED are also read as "family - value".
-_SEPARATED = {
-    "SOFR Term": "Overnight, 1-Month, 3-Month, 6-Month, 12-Month",
-    "BSBY": "Overnight, 1-Month, 3-Month, 6-Month, 12-Month",
-    "Ameribor": "Overnight, 1-Week, 1-Month, 3-Month, 6-Month, 1-Year, 2-Year, 30-Day Average, 90-Day Average, Derived 30T, Derived 90T",
-    "LIBOR": "1-Year (Daily)",
-    "Treasury": "3-Month, 6-Month, 1-Year, 2-Year, 3-Year, 5-Year, 7-Year, 10-Year, 30-Year",
-    "Treasury Avg": "12-Month",
-    "Freddie Mac": "1-Month, 3-Month, 6-Month, 12-Month",
-    "FHLB": "1-Year, 2-Year, 3-Year, 5-Year, 7-Year, 10-Year",
-    "SOFR": "30-Day",
-}
-_JOINED = {
-    "USD Swap": "1-Year, 5-Year, 10-Year",
-    "SOFR": "1-Month, 12-Month, 30-Day Average, 180-Day Average",
-    "RCF": "6-Month, 12-Month",
-}
-_CMT_YEARS = (1, 2, 3, 5, 7, 10, 30)
-_LIBOR_MONTHS = (1, 2, 3, 6, 9, 12)
-_RATE_ALIASES = {
-    "TSFR6M": "SOFR Term 6-Month", "SOFR Avg - 30 days": "SOFR 30-Day Average", "SOFR30": "SOFR 30-Day", "SOFR30A": "SOFR 30-Day Average",
-    "SOFR180A": "SOFR 180-Day Average", "RCF6M": "RCF 6-Month", "RCF12M": "RCF 12-Month",
+# Spellings of tenor units; a month or year may follow its number at once, the others after a space or hyphen.
+MONTHS = ("months", "month", "mos", "mo", "m")
+YEARS = ("years", "year", "yrs", "yr", "y")
+DAYS = ("days", "day")
+WEEKS = ("weeks", "week")
+#: Canonical unit, spellings, what may stand between number and unit.
+TENOR_UNITS = (("month", MONTHS, "[ -]?"), ("year", YEARS, "[ -]?"), ("day", DAYS, "[ -]"), ("week", WEEKS, "[ -]"))
+# Spellings of interest rates and their canonical labels.
+INTEREST_RATES = {
+    "Prime": "Prime", "SOFR": "SOFR", "SOFR Term Overnight": "SOFR Term Overnight", "SOFR Term - Overnight": "SOFR Term Overnight",
+    "SOFR Term 1-Month": "SOFR Term 1-Month", "SOFR Term - 1-Month": "SOFR Term 1-Month", "SOFR Term 3-Month": "SOFR Term 3-Month",
+    "SOFR Term - 3-Month": "SOFR Term 3-Month", "SOFR Term 6-Month": "SOFR Term 6-Month", "SOFR Term - 6-Month": "SOFR Term 6-Month",
+    "TSFR6M": "SOFR Term 6-Month", "SOFR Term 12-Month": "SOFR Term 12-Month", "SOFR Term - 12-Month": "SOFR Term 12-Month",
+    "BSBY Overnight": "BSBY Overnight", "BSBY - Overnight": "BSBY Overnight", "BSBY 1-Month": "BSBY 1-Month", "BSBY - 1-Month": "BSBY 1-Month",
+    "BSBY 3-Month": "BSBY 3-Month", "BSBY - 3-Month": "BSBY 3-Month", "BSBY 6-Month": "BSBY 6-Month", "BSBY - 6-Month": "BSBY 6-Month",
+    "BSBY 12-Month": "BSBY 12-Month", "BSBY - 12-Month": "BSBY 12-Month", "Ameribor Overnight": "Ameribor Overnight",
+    "Ameribor - Overnight": "Ameribor Overnight", "Ameribor 1-Week": "Ameribor 1-Week", "Ameribor - 1-Week": "Ameribor 1-Week",
+    "Ameribor 1-Month": "Ameribor 1-Month", "Ameribor - 1-Month": "Ameribor 1-Month", "Ameribor 3-Month": "Ameribor 3-Month",
+    "Ameribor - 3-Month": "Ameribor 3-Month", "Ameribor 6-Month": "Ameribor 6-Month", "Ameribor - 6-Month": "Ameribor 6-Month",
+    "Ameribor 1-Year": "Ameribor 1-Year", "Ameribor - 1-Year": "Ameribor 1-Year", "Ameribor 2-Year": "Ameribor 2-Year",
+    "Ameribor - 2-Year": "Ameribor 2-Year", "Ameribor 30-Day Average": "Ameribor 30-Day Average",
+    "Ameribor - 30-Day Average": "Ameribor 30-Day Average", "Ameribor 90-Day Average": "Ameribor 90-Day Average",
+    "Ameribor - 90-Day Average": "Ameribor 90-Day Average", "Ameribor Derived 30T": "Ameribor Derived 30T",
+    "Ameribor - Derived 30T": "Ameribor Derived 30T", "Ameribor Derived 90T": "Ameribor Derived 90T",
+    "Ameribor - Derived 90T": "Ameribor Derived 90T", "LIBOR 1-Year (Daily)": "LIBOR 1-Year (Daily)",
+    "LIBOR - 1-Year (Daily)": "LIBOR 1-Year (Daily)", "Treasury 3-Month": "Treasury 3-Month", "Treasury - 3-Month": "Treasury 3-Month",
+    "Treasury 6-Month": "Treasury 6-Month", "Treasury - 6-Month": "Treasury 6-Month", "Treasury 1-Year": "Treasury 1-Year",
+    "Treasury - 1-Year": "Treasury 1-Year", "Treasury 2-Year": "Treasury 2-Year", "Treasury - 2-Year": "Treasury 2-Year",
+    "Treasury 3-Year": "Treasury 3-Year", "Treasury - 3-Year": "Treasury 3-Year", "Treasury 5-Year": "Treasury 5-Year",
+    "Treasury - 5-Year": "Treasury 5-Year", "Treasury 7-Year": "Treasury 7-Year", "Treasury - 7-Year": "Treasury 7-Year",
+    "Treasury 10-Year": "Treasury 10-Year", "Treasury - 10-Year": "Treasury 10-Year", "Treasury 30-Year": "Treasury 30-Year",
+    "Treasury - 30-Year": "Treasury 30-Year", "Treasury Avg 12-Month": "Treasury Avg 12-Month", "Treasury Avg - 12-Month": "Treasury Avg 12-Month",
+    "Freddie Mac 1-Month": "Freddie Mac 1-Month", "Freddie Mac - 1-Month": "Freddie Mac 1-Month", "Freddie Mac 3-Month": "Freddie Mac 3-Month",
+    "Freddie Mac - 3-Month": "Freddie Mac 3-Month", "Freddie Mac 6-Month": "Freddie Mac 6-Month", "Freddie Mac - 6-Month": "Freddie Mac 6-Month",
+    "Freddie Mac 12-Month": "Freddie Mac 12-Month", "Freddie Mac - 12-Month": "Freddie Mac 12-Month", "FHLB 1-Year": "FHLB 1-Year",
+    "FHLB - 1-Year": "FHLB 1-Year", "FHLB 2-Year": "FHLB 2-Year", "FHLB - 2-Year": "FHLB 2-Year", "FHLB 3-Year": "FHLB 3-Year",
+    "FHLB - 3-Year": "FHLB 3-Year", "FHLB 5-Year": "FHLB 5-Year", "FHLB - 5-Year": "FHLB 5-Year", "FHLB 7-Year": "FHLB 7-Year",
+    "FHLB - 7-Year": "FHLB 7-Year", "FHLB 10-Year": "FHLB 10-Year", "FHLB - 10-Year": "FHLB 10-Year", "SOFR 30-Day": "SOFR 30-Day",
+    "SOFR - 30-Day": "SOFR 30-Day", "SOFR30": "SOFR 30-Day", "USD Swap 1-Year": "USD Swap 1-Year", "USD Swap 5-Year": "USD Swap 5-Year",
+    "USD Swap 10-Year": "USD Swap 10-Year", "SOFR 1-Month": "SOFR 1-Month", "SOFR 12-Month": "SOFR 12-Month",
+    "SOFR 30-Day Average": "SOFR 30-Day Average", "SOFR Avg - 30 days": "SOFR 30-Day Average", "SOFR30A": "SOFR 30-Day Average",
+    "SOFR 180-Day Average": "SOFR 180-Day Average", "SOFR180A": "SOFR 180-Day Average", "RCF 6-Month": "RCF 6-Month", "RCF6M": "RCF 6-Month",
+    "RCF 12-Month": "RCF 12-Month", "RCF12M": "RCF 12-Month", "1-Year Constant Maturity Treasury (CMT)": "1-Year Constant Maturity Treasury (CMT)",
+    "1-Year CMT": "1-Year Constant Maturity Treasury (CMT)", "2-Year Constant Maturity Treasury (CMT)": "2-Year Constant Maturity Treasury (CMT)",
+    "2-Year CMT": "2-Year Constant Maturity Treasury (CMT)", "3-Year Constant Maturity Treasury (CMT)": "3-Year Constant Maturity Treasury (CMT)",
+    "3-Year CMT": "3-Year Constant Maturity Treasury (CMT)", "5-Year Constant Maturity Treasury (CMT)": "5-Year Constant Maturity Treasury (CMT)",
+    "5-Year CMT": "5-Year Constant Maturity Treasury (CMT)", "7-Year Constant Maturity Treasury (CMT)": "7-Year Constant Maturity Treasury (CMT)",
+    "7-Year CMT": "7-Year Constant Maturity Treasury (CMT)", "10-Year Constant Maturity Treasury (CMT)": "10-Year Constant Maturity Treasury (CMT)",
+    "10-Year CMT": "10-Year Constant Maturity Treasury (CMT)",
+    "30-Year Constant Maturity Treasury (CMT)": "30-Year Constant Maturity Treasury (CMT)",
+    "30-Year CMT": "30-Year Constant Maturity Treasury (CMT)", "1-Month LIBOR": "1-Month LIBOR", "2-Month LIBOR": "2-Month LIBOR",
+    "3-Month LIBOR": "3-Month LIBOR", "6-Month LIBOR": "6-Month LIBOR", "9-Month LIBOR": "9-Month LIBOR", "12-Month LIBOR": "12-Month LIBOR",
 }
 
 
@@ -97,86 +120,61 @@ def _register(table: dict[str, str], key: str, label: str) -> None:
 def _rate_key(text: str) -> str:
     key = re.sub(r" *- *", "-", text.lower())
     for unit, spellings, gap in TENOR_UNITS:
-        key = re.sub(rf"(?<![\w.,])([1-9][0-9]*){gap}(?:{spellings})(?!\w)", rf"\1-{unit}", key)
+        key = re.sub(rf"(?<![\w.,])([1-9][0-9]*){gap}(?:{'|'.join(spellings)})(?!\w)", rf"\1-{unit}", key)
     return key
 
 
 @cache
 def interest_rates() -> dict[str, str]:
     """Comparison key to canonical label."""
-    labels = {"Prime": ["Prime"], "SOFR": ["SOFR"]}
-    for family, values in _SEPARATED.items():
-        for v in values.split(", "):
-            labels[f"{family} {v}"] = [f"{family} {v}", f"{family} - {v}"]
-    for family, values in _JOINED.items():
-        for v in values.split(", "):
-            labels.setdefault(f"{family} {v}", []).append(f"{family} {v}")
-    for n in _CMT_YEARS:
-        labels[f"{n}-Year Constant Maturity Treasury (CMT)"] = [f"{n}-Year Constant Maturity Treasury (CMT)", f"{n}-Year CMT"]
-    for n in _LIBOR_MONTHS:
-        labels[f"{n}-Month LIBOR"] = [f"{n}-Month LIBOR"]
-    for alias, label in _RATE_ALIASES.items():
-        labels[label].append(alias)
     table: dict[str, str] = {}
-    for label, spellings in labels.items():
-        for s in spellings:
-            _register(table, _rate_key(s), label)
+    for spelling, label in INTEREST_RATES.items():
+        _register(table, _rate_key(spelling), label)
     return table
 
 
 DASHES = "‐‑‒–—―−"
-# Property types, each canonical label with its other spellings.
-_PROPERTY_TYPES = {
-    "Single Family": "SFR; Single Family Residential; Single Family Attached; Single-Family Attached; Single Family Detached; Single-Family Detached; Single Family SemiDetached",
-    "Townhouse": "Townhome; Town House/Row House",
-    "Duplex": "",
-    "PUD": "Planned Unit Development; dPUD; PUD-Attached; PUD-Detached",
-    "Two-Unit": "2 Unit; Two Unit; 2 Family Home",
-    "Three-Unit": "3 Unit; Three Unit; 3 Family Home",
-    "Four-Unit": "4 Unit; Four Unit; 4 Family Home",
-    "Manufactured Housing": "MH; Manufactured Home; Mobile Home",
-    "Coop": "CO-OP",
-    "Condominium": "Condominimum; Condo; Condo (Stories Unknown); Non-Warrantable Condo; NonWarrantable Condo",
-    "Farm Land": "AG RE; Ag Real Estate",
-    "Crops or Livestock": "Crops & Livestock; Crops and Livestock",
-    "Machinery & Equipment": "",
-    "Equipment": "",
-    "Operating Equipment": "",
-    "Technology Equipment": "",
-    "Apartment - Garden": "",
-    "Apartment - High-Rise": "",
-    "Apartment - Low-Rise": "",
-    "Apartment": "Apartments",
-    "Senior Housing - Assisted Living": "Assisted Living",
-    "Senior Housing": "Health Care - Independent Living",
-    "Student Housing": "Multifamily - Student",
-    "Hotel": "",
-    "Industrial - Warehouse": "Warehouse; Industrial Warehouse; Industrial/Warehouse; Industrial Office-Warehouse",
-    "Industrial - Manufacturing": "",
-    "Industrial": "Industrial Flex; Industrial-Flex; Multi-Tenant Flex",
-    "Office - Medical Office": "Medical Office",
-    "Office": "Office-Single Tenant; Office Single Tenant; Multi-Tenant Office; OFFMIDRISE",
-    "Retail - Regional Mall": "Retail-Regional Mall; Retail Regional Mall",
-    "Retail - Strip": "",
-    "Retail": "Retail-Anchored; Retail Anchored; Retail-Unanchored; Retail Unanchored; Retail-Other; Retail-Mall; Grocery Store",
-    "Entertainment": "",
-    "Parking": "Other-Parking Garage; Parking Garage",
-    "Restaurant": "",
-    "Self Storage": "",
-    "Other": "Oth_Comm",
-    "Multifamily": "Multi-Family; Multi Family; MultiFamily; MULTIFAMLY; Multifamily-Over 20; Multifamily Over 20",
-    "Multifamily - LIHTC": "Multi Family LIHTC; Multifamily LIHTC",
-    "Mixed Use": "",
-}
-# Spellings that hold the list mark above.
-_CONDO_RISES = ("Condo Low Rise (<= 4 Stories; Single Unit)", "Condo High Rise (> 4 Stories; single unit)")
+# Spellings of property types and their canonical labels.
+PROPERTY_TYPES = {
+    "Single Family": "Single Family", "SFR": "Single Family", "Single Family Residential": "Single Family",
+    "Single Family Attached": "Single Family", "Single-Family Attached": "Single Family", "Single Family Detached": "Single Family",
+    "Single-Family Detached": "Single Family", "Single Family SemiDetached": "Single Family", "Townhouse": "Townhouse", "Townhome": "Townhouse",
+    "Town House/Row House": "Townhouse", "Duplex": "Duplex", "PUD": "PUD", "Planned Unit Development": "PUD", "dPUD": "PUD", "PUD-Attached": "PUD",
+    "PUD-Detached": "PUD", "Two-Unit": "Two-Unit", "2 Unit": "Two-Unit", "Two Unit": "Two-Unit", "2 Family Home": "Two-Unit",
+    "Three-Unit": "Three-Unit", "3 Unit": "Three-Unit", "Three Unit": "Three-Unit", "3 Family Home": "Three-Unit", "Four-Unit": "Four-Unit",
+    "4 Unit": "Four-Unit", "Four Unit": "Four-Unit", "4 Family Home": "Four-Unit", "Manufactured Housing": "Manufactured Housing",
+    "MH": "Manufactured Housing", "Manufactured Home": "Manufactured Housing", "Mobile Home": "Manufactured Housing", "Coop": "Coop",
+    "CO-OP": "Coop", "Condominium": "Condominium", "Condominimum": "Condominium", "Condo": "Condominium", "Condo (Stories Unknown)": "Condominium",
+    "Non-Warrantable Condo": "Condominium", "NonWarrantable Condo": "Condominium", "Condo Low Rise (<= 4 Stories; Single Unit)": "Condominium",
+    "Condo High Rise (> 4 Stories; single unit)": "Condominium", "Farm Land": "Farm Land", "AG RE": "Farm Land", "Ag Real Estate": "Farm Land",
+    "Crops or Livestock": "Crops or Livestock", "Crops & Livestock": "Crops or Livestock", "Crops and Livestock": "Crops or Livestock",
+    "Machinery & Equipment": "Machinery & Equipment", "Equipment": "Equipment", "Operating Equipment": "Operating Equipment",
+    "Technology Equipment": "Technology Equipment", "Apartment - Garden": "Apartment - Garden", "Apartment - High-Rise": "Apartment - High-Rise",
+    "Apartment - Low-Rise": "Apartment - Low-Rise", "Apartment": "Apartment", "Apartments": "Apartment",
+    "Senior Housing - Assisted Living": "Senior Housing - Assisted Living", "Assisted Living": "Senior Housing - Assisted Living",
+    "Senior Housing": "Senior Housing", "Health Care - Independent Living": "Senior Housing", "Student Housing": "Student Housing",
+    "Multifamily - Student": "Student Housing", "Hotel": "Hotel", "Industrial - Warehouse": "Industrial - Warehouse",
+    "Warehouse": "Industrial - Warehouse", "Industrial Warehouse": "Industrial - Warehouse", "Industrial/Warehouse": "Industrial - Warehouse",
+    "Industrial Office-Warehouse": "Industrial - Warehouse", "Industrial - Manufacturing": "Industrial - Manufacturing", "Industrial": "Industrial",
+    "Industrial Flex": "Industrial", "Industrial-Flex": "Industrial", "Multi-Tenant Flex": "Industrial",
+    "Office - Medical Office": "Office - Medical Office", "Medical Office": "Office - Medical Office", "Office": "Office",
+    "Office-Single Tenant": "Office", "Office Single Tenant": "Office", "Multi-Tenant Office": "Office", "OFFMIDRISE": "Office",
+    "Retail - Regional Mall": "Retail - Regional Mall", "Retail-Regional Mall": "Retail - Regional Mall",
+    "Retail Regional Mall": "Retail - Regional Mall", "Retail - Strip": "Retail - Strip", "Retail": "Retail", "Retail-Anchored": "Retail",
+    "Retail Anchored": "Retail", "Retail-Unanchored": "Retail", "Retail Unanchored": "Retail", "Retail-Other": "Retail", "Retail-Mall": "Retail",
+    "Grocery Store": "Retail", "Entertainment": "Entertainment", "Parking": "Parking", "Other-Parking Garage": "Parking",
+    "Parking Garage": "Parking", "Restaurant": "Restaurant", "Self Storage": "Self Storage", "Other": "Other", "Oth_Comm": "Other",
+    "Multifamily": "Multifamily", "Multi-Family": "Multifamily", "Multi Family": "Multifamily", "MultiFamily": "Multifamily",
+    "MULTIFAMLY": "Multifamily", "Multifamily-Over 20": "Multifamily", "Multifamily Over 20": "Multifamily",
+    "Multifamily - LIHTC": "Multifamily - LIHTC", "Multi Family LIHTC": "Multifamily - LIHTC", "Multifamily LIHTC": "Multifamily - LIHTC",
+    "Mixed Use": "Mixed Use",
+}
 
 
 @cache
 def property_types() -> dict[str, str]:
     """Comparison key to canonical label."""
     table: dict[str, str] = {}
-    for label, others in _PROPERTY_TYPES.items():
-        for s in (label, *filter(None, others.split("; ")), *(_CONDO_RISES if label == "Condominium" else ())):
-            _register(table, re.sub(r" *([-/&,]) *", r"\1", s.lower()), label)
+    for spelling, label in PROPERTY_TYPES.items():
+        _register(table, re.sub(r" *([-/&,]) *", r"\1", spelling.lower()), label)
     return table

@@ -1,16 +1,19 @@
-"""Checks of a DataFrame against a contract.  They read schemas and fold constants; no job runs."""
+"""Checks of a DataFrame against a contract.
+
+Names are put to Spark's own resolver, tokens and patterns to its optimizer, which folds literals; no job runs.
+"""
 
 from __future__ import annotations
 
 import re
 import warnings
-from collections import Counter
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField
 
 from ..contract.authoring import well_formed
 from ..contract.model import ParserConfig
@@ -39,56 +42,136 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def name_folder(spark: SparkSession) -> Callable[[str], str]:
-    """How the active resolver compares names, found by asking it to drop a column by its name in capitals."""
-    if spark.range(0).select(F.lit(1).alias("probe")).drop("PROBE").columns:
-        return lambda name: name
-    one = lambda c: c.upper().lower() if len(c.upper()) == 1 and len(c.upper().lower()) == 1 else c
-    return lambda name: "".join(map(one, name))
-
-
 def _listed(names: Iterable[str]) -> str:
     return ", ".join(map(repr, names))
 
 
-def _lowered(spark: SparkSession, tokens: Sequence[str]) -> list[str]:
-    """Tokens as Spark lowers them.  A projection of a local relation is folded by the optimizer, without a job."""
-    args = {f"t{i}": t for i, t in enumerate(tokens)}
-    rows = ", ".join(f"({i}, :t{i})" for i in range(len(tokens)))
-    found = spark.sql(f"SELECT i, lower(t) AS t FROM VALUES {rows} AS v(i, t)", args=args).collect()
-    return [r["t"] for r in sorted(found, key=lambda r: r["i"])]
+def _analysed(df: DataFrame, names: Sequence[str]) -> list[StructField] | None:
+    """The fields that the active resolver finds for the names in a projection; None if some name has none or several."""
+    try:
+        return df.select(*[F.col(quoted(n)) for n in names]).schema.fields
+    except AnalysisException:
+        return None
+
+
+class Names:
+    """Column names, as the active resolver sees them.  It is asked by analysing projections, which starts no job."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    @classmethod
+    def of(cls, spark: SparkSession, names: Iterable[str]) -> Names:
+        return cls(spark.range(0).select(*[F.lit(None).alias(n) for n in names]))
+
+    def find(self, names: Sequence[str]) -> tuple[dict[str, StructField], list[str], list[str]]:
+        """The field of each name that stands for one, the names that stand for several, and those for none."""
+        names = list(dict.fromkeys(names))
+        found = _analysed(self.df, names)
+        if found is not None:
+            return dict(zip(names, found, strict=True)), [], []
+        one, many, none = {}, [], []
+        for n in names:
+            try:
+                one[n] = self.df.select(F.col(quoted(n))).schema.fields[0]
+            except AnalysisException as e:
+                (many if e.getCondition() == "AMBIGUOUS_REFERENCE" else none).append(n)
+        return one, many, none
+
+    def among(self, names: Sequence[str]) -> list[str]:
+        """Those of the names that stand for a column here, or for several."""
+        if not names or not self.df.columns:
+            return []
+        one, many, _ = self.find(names)
+        return [n for n in names if n in one or n in many]
+
+
+def _alike(spark: SparkSession, names: Sequence[str]) -> list[list[str]]:
+    """Groups of names that the resolver can't tell apart."""
+    distinct = list(dict.fromkeys(names))
+    _, many, _ = Names.of(spark, distinct).find(distinct) if distinct else ({}, [], [])
+    groups, seen = [], set()
+    for n in distinct:
+        if n in seen:
+            continue
+        alike = [m for m in many if Names.of(spark, [m]).among([n])] if n in many else [n]
+        group = [m for m in names if m in alike]
+        seen.update(group)
+        if len(group) > 1:
+            groups.append(group)
+    return groups
+
+
+# ---- what Spark's functions make of literals ----
+
+#: A pattern that no policy accepts.
+_REFUSED = "yyyy-QQQQQQ-bad"
 
 
-def _boolean_findings(spark: SparkSession, config: ParserConfig) -> list[str]:
+def _neutral(spark: SparkSession) -> SparkSession:
+    """A fresh session that folds literals whatever the caller's says; the caller's own where there is none to have."""
+    try:
+        fresh = spark.newSession()
+        fresh.conf.set("spark.sql.optimizer.excludedRules", "")
+        fresh.conf.set("spark.sql.legacy.timeParserPolicy", "CORRECTED")
+        fresh.conf.set("spark.sql.ansi.enabled", "true")
+    except Exception:  # noqa: BLE001 - a client without sessions of its own, or one that may not set these
+        return spark
+    return fresh
+
+
+def _refusal(spark: SparkSession, pattern: Column) -> str | None:
+    """Why a datetime pattern made of literals is refused, found as the optimizer folds it: no job runs."""
+    try:
+        spark.range(0).select(F.try_to_timestamp(F.lit(""), pattern).alias("t")).inputFiles()
+    except Exception as e:  # noqa: BLE001 - the optimizer raises several kinds
+        return str(e).splitlines()[0]
+    return None
+
+
+def _boolean_findings(probe: SparkSession, config: ParserConfig) -> list[str]:
+    """Boolean tokens that Spark's lower() makes equal, beyond ASCII.  Equal ones turn a fine pattern into one that is refused."""
     out = []
     for c in config.columns:
         p = c.parser
         if p.parser_type is not ParserType.BOOLEAN or p.boolean_case_sensitive or all(t.isascii() for t in (*p.true_values, *p.false_values)):
             continue
-        low = _lowered(spark, [*p.true_values, *p.false_values])
-        true, false = low[: len(p.true_values)], set(low[len(p.true_values) :])
-        if both := [t for t, x in zip(p.true_values, true, strict=True) if x in false]:
-            out.append(f"Target {c.target_column_name!r} has Boolean tokens that Spark lowers alike: {_listed(both)}.")
+        low = lambda tokens: F.array(*[F.lower(F.lit(t)) for t in tokens])
+
+        def meet(tokens: Sequence[str], others: Sequence[str] = p.false_values, low=low) -> bool:
+            return _refusal(probe, F.when(F.arrays_overlap(low(tokens), low(others)), F.lit(_REFUSED)).otherwise(F.lit("yyyy"))) is not None
+
+        if meet(p.true_values):
+            out.append(f"Target {c.target_column_name!r} has Boolean tokens that Spark lowers alike: {_listed(t for t in p.true_values if meet([t]))}.")
     return out
 
 
-def _pattern_findings(spark: SparkSession, config: ParserConfig) -> list[str]:
+def _pattern_findings(spark: SparkSession, probe: SparkSession, config: ParserConfig) -> list[str]:
     custom = [(c, f) for c in config.columns for f in c.parser.formats if f not in BUILT_IN]
     if not custom:
         return []
-    policy = spark.conf.get("spark.sql.legacy.timeParserPolicy", "CORRECTED")
+    try:
+        policy = spark.conf.get("spark.sql.legacy.timeParserPolicy", "CORRECTED")
+    except Exception as e:  # noqa: BLE001 - a client that may not read it
+        return [f"Custom datetime patterns need spark.sql.legacy.timeParserPolicy=CORRECTED, which can't be read: {str(e).splitlines()[0]}"]
     if str(policy).upper() != "CORRECTED":
         return [f"Custom datetime patterns need spark.sql.legacy.timeParserPolicy=CORRECTED, not {policy}."]
-    out = []
-    for c, f in custom:
-        try:
-            spark.sql("SELECT try_to_timestamp(v, :f) AS t FROM VALUES ('') AS x(v)", args={"f": f}).collect()
-        except Exception as e:  # noqa: BLE001 - the analyser raises several kinds
-            out.append(f"Target {c.target_column_name!r} has an invalid datetime pattern {f!r}: {str(e).splitlines()[0]}")
-    return out
+    why = {f: _refusal(probe, F.lit(f)) for f in dict.fromkeys(f for _, f in custom)}
+    return [f"Target {c.target_column_name!r} has an invalid datetime pattern {f!r}: {why[f]}" for c, f in custom if why[f] is not None]
 
 
-def _check_arguments(config: object, key_columns: object, on_missing_source: str, column_prefix: object, error_mode: str) -> None:
+def _literal_findings(spark: SparkSession, config: ParserConfig) -> list[str]:
+    beyond = any(not t.isascii() for c in config.columns for t in (*c.parser.true_values, *c.parser.false_values))
+    if not beyond and all(f in BUILT_IN for c in config.columns for f in c.parser.formats):
+        return []
+    # A session that lets the refused pattern pass folds nothing, and so proves nothing.
+    probe = next((s for s in (_neutral(spark), spark) if _refusal(s, F.lit(_REFUSED)) is not None), None)
+    if probe is None:
+        return ["Boolean tokens beyond ASCII and custom datetime patterns can't be checked: the session folds no literals."]
+    return [*_boolean_findings(probe, config), *_pattern_findings(spark, probe, config)]
+
+
+def _check_arguments(config: object, on_missing_source: str, column_prefix: object, error_mode: str) -> None:
     if not isinstance(config, ParserConfig):
         raise TypeError("config must be a compiled contract.")
     if error_mode not in ("configured", "collect"):
@@ -97,44 +180,49 @@ def _check_arguments(config: object, key_columns: object, on_missing_source: str
         raise ValueError("on_missing_source must be 'fail' or 'warn'.")
     if not isinstance(column_prefix, str) or not column_prefix.strip() or not well_formed(column_prefix):
         raise ValueError("column_prefix must be a non-blank, well-formed string.")
-    if isinstance(key_columns, (str, bytes)) or not isinstance(key_columns, Sequence):
-        raise TypeError("key_columns must be a sequence of column names.")
-    if not key_columns or not all(isinstance(k, str) and k.strip() and well_formed(k) for k in key_columns):
-        raise ValueError("key_columns must hold at least one name, and no blank ones.")
 
 
-def _alike(names: Iterable[str], fold: Callable[[str], str]) -> list[list[str]]:
-    groups: dict[str, list[str]] = {}
-    for n in names:
-        groups.setdefault(fold(n), []).append(n)
-    return [g for g in groups.values() if len(g) > 1]
+def _read_keys(given: object) -> tuple[list[str], list[str]]:
+    """The names that can be looked up, and findings; a TypeError for what holds no names."""
+    if given is None:
+        return [], ["key_columns is required."]
+    if isinstance(given, (str, bytes)) or not isinstance(given, Iterable):
+        raise TypeError("key_columns must be a sequence of column names.")
+    keys = list(given)
+    findings = [] if keys else ["key_columns must hold at least one name."]
+    named = [k for k in keys if isinstance(k, str) and k]
+    if len(named) < len(keys):
+        findings.append("key_columns must hold non-empty strings only.")
+    if odd := [k for k in named if not well_formed(k)]:
+        findings.append(f"key_columns must hold well-formed Unicode: {_listed(odd)}.")
+    return [k for k in named if well_formed(k)], findings
 
 
-def bind(df: DataFrame, config: ParserConfig, *, key_columns: Sequence[str], on_missing_source: str, column_prefix: str, error_mode: str, result_columns: Sequence[str], parsed_extras: Sequence[str]) -> Binding:
-    """Key bindings and allowed gaps; all findings against the DataFrame are raised together."""
-    _check_arguments(config, key_columns, on_missing_source, column_prefix, error_mode)
+def bind(df: DataFrame, config: ParserConfig, *, key_columns: Iterable[str] | None, on_missing_source: str, column_prefix: str, error_mode: str, result_columns: Sequence[str], parsed_extras: Sequence[str]) -> Binding:
+    """Key bindings and allowed gaps; all findings against the DataFrame are raised together, checks that rest on bad names left out."""
+    _check_arguments(config, on_missing_source, column_prefix, error_mode)
+    named_keys, findings = _read_keys(key_columns)
     spark = df.sparkSession
-    fold = name_folder(spark)
-    fields = Counter(fold(f.name) for f in df.schema)
-    kinds = {fold(f.name): f.dataType for f in df.schema}
     sources = list(dict.fromkeys(c.source_column_name for c in config.columns))
     targets = [c.target_column_name for c in config.columns]
-    findings = [*_boolean_findings(spark, config), *_pattern_findings(spark, config)]
+    findings += _literal_findings(spark, config)
     if odd := [n for n in (*sources, *targets) if not well_formed(n)]:
         findings.append(f"Configured names must be well-formed Unicode: {_listed(odd)}.")
-    if many := [s for s in sources if fields[fold(s)] > 1]:
+        raise SchemaValidationError(findings)
+    inputs = Names(df)
+    fields, many, missing = inputs.find(sources)
+    if many:
         findings.append(f"Ambiguous source columns: {_listed(many)}.")
-    missing = [s for s in sources if not fields[fold(s)]]
     if missing and on_missing_source == "fail":
         findings.append(f"Missing source columns: {_listed(missing)}.")
-    if other := [s for s in sources if fields[fold(s)] == 1 and not isinstance(kinds[fold(s)], StringType)]:
-        findings.append("Source columns must be top-level strings: " + ", ".join(f"{s!r} is {kinds[fold(s)].simpleString()}" for s in other) + ".")
-    if taken := [n for n in result_columns if fields[fold(n)]]:
+    if other := {n: f.dataType.simpleString() for n, f in fields.items() if not isinstance(f.dataType, StringType)}:
+        findings.append("Source columns must be top-level strings: " + ", ".join(f"{n!r} is {kind}" for n, kind in other.items()) + ".")
+    if taken := inputs.among(result_columns):
         findings.append(f"Input columns have reserved result names: {_listed(taken)}.")
-    if clash := [n for n in parsed_extras if fold(n) in set(map(fold, targets))]:
+    if clash := Names.of(spark, targets).among(parsed_extras):
         findings.append(f"Target columns have reserved result names: {_listed(clash)}.")
-    findings += [f"Target columns are one name to the resolver: {_listed(g)}." for g in _alike(targets, fold)]
-    keys, key_findings = _keys(config, key_columns, fields, fold, result_columns)
+    findings += [f"Target columns are one name to the resolver: {_listed(g)}." for g in _alike(spark, targets)]
+    keys, key_findings = _keys(spark, config, named_keys, inputs, result_columns)
     findings += key_findings
     if findings:
         raise SchemaValidationError(findings)
@@ -144,23 +232,28 @@ def bind(df: DataFrame, config: ParserConfig, *, key_columns: Sequence[str], on_
     return Binding(tuple(keys), frozenset(missing), told)
 
 
-def _keys(config: ParserConfig, key_columns: Sequence[str], fields: Counter, fold: Callable[[str], str], result_columns: Sequence[str]) -> tuple[list[Key], list[str]]:
-    findings = [f"Duplicate key columns: {_listed(g)}." for g in _alike(key_columns, fold)]
-    if gone := [k for k in key_columns if not fields[fold(k)]]:
+def _keys(spark: SparkSession, config: ParserConfig, key_columns: Sequence[str], inputs: Names, result_columns: Sequence[str]) -> tuple[list[Key], list[str]]:
+    if not key_columns:
+        return [], []
+    findings = [f"Duplicate key columns: {_listed(g)}." for g in _alike(spark, key_columns)]
+    _, many, gone = inputs.find(key_columns)
+    if gone:
         findings.append(f"Missing key columns: {_listed(gone)}.")
-    if many := [k for k in key_columns if fields[fold(k)] > 1]:
+    if many:
         findings.append(f"Ambiguous key columns: {_listed(many)}.")
     if findings:
         return [], findings
+    sources = list(dict.fromkeys(c.source_column_name for c in config.columns))
     keys = []
     for k in key_columns:
-        feeds = [i for i, c in enumerate(config.columns) if fold(c.source_column_name) == fold(k)]
+        same = set(sources) & {k} or set(Names.of(spark, [k]).among(sources))
+        feeds = [i for i, c in enumerate(config.columns) if c.source_column_name in same]
         keys.append(Key(k, config.columns[feeds[0]].target_column_name, feeds[0]) if len(feeds) == 1 else Key(k, k, None))
-    findings += [f"Key columns have one name in the results: {_listed(g)}." for g in _alike([k.output for k in keys], fold)]
-    targets = {fold(c.target_column_name) for c in config.columns}
-    if passed := [k.column for k in keys if k.target is None and fold(k.column) in targets]:
-        findings.append(f"Key columns that pass through share names with targets: {_listed(passed)}.")
-    if clash := [k.output for k in keys if fold(k.output) in set(map(fold, result_columns))]:
+    findings += [f"Key columns have one name in the results: {_listed(g)}." for g in _alike(spark, [k.output for k in keys])]
+    passed = [k.column for k in keys if k.target is None]
+    if shared := Names.of(spark, [c.target_column_name for c in config.columns]).among(passed):
+        findings.append(f"Key columns that pass through share names with targets: {_listed(shared)}.")
+    if clash := Names.of(spark, result_columns).among([k.output for k in keys]):
         findings.append(f"Key columns have reserved result names: {_listed(clash)}.")
     return keys, findings
 

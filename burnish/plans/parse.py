@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 from ..contract.identity import content_hash
 from ..contract.model import ParserConfig
+from ..contract.vocabulary import ENGINE_VERSION
 from ..errors import SchemaValidationError
 from ..functions.scalars import checked_floating, needs_check, parse_scalar
 from ..operators import evidence, steps
 from .binding import EXHAUSTED, Key, bind, quoted
 
-ENGINE_VERSION = "0.1.0"
-
-
 class DataFrameParsing:
     """The outcome of a binding.  Nothing has run; parsed_df and results_df are projections of one plan."""
 

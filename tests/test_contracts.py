@@ -156,7 +156,7 @@ def test_descriptions():
 def test_review(tmp_path):
     report = parser.review_yaml(BASE)
     assert report.is_valid and report.content_hash == parser.content_hash(parser.compile_text(BASE))
-    assert "No column is audited." in report.warnings and len(report.checks) == 5
+    assert "No column is audited." in report.warnings and len(report.checks) == 7
     report.write_json(tmp_path / "r.json")
     report.write_markdown(tmp_path / "r.md")
     assert json.loads((tmp_path / "r.json").read_text())["is_valid"] and (tmp_path / "r.md").read_text().endswith("\n")

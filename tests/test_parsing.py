@@ -201,6 +201,66 @@ def test_binding_runs_no_job(spark):
     spark.sparkContext.setJobGroup("other", "")
 
 
+def test_binding_runs_no_job_whatever_the_optimizer_leaves_out(spark):
+    df = spark.createDataFrame([("1",)], "v string")
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation,org.apache.spark.sql.catalyst.optimizer.ConstantFolding")
+    try:
+        test_binding_runs_no_job(spark)
+        with pytest.raises(SchemaValidationError, match="pattern"):
+            parser.parse_dataframe(df, contract(column("date", formats=["yyyy-QQQQQQ-bad"])), key_columns=["v"])
+        with pytest.raises(SchemaValidationError, match="'Ä'"):
+            parser.parse_dataframe(df, contract(column("boolean", true_values=["y", "Ä"], false_values=["ä"])), key_columns=["v"])
+    finally:
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+
+
+def test_a_session_that_folds_nothing_proves_nothing(spark, monkeypatch):
+    from burnish.plans import binding
+
+    df = spark.createDataFrame([("1",)], "v string")
+    monkeypatch.setattr(binding, "_refusal", lambda session, pattern: None)
+    with pytest.raises(SchemaValidationError, match="can't be checked"):
+        parser.parse_dataframe(df, contract(column("date", formats=["dd.MM.yyyy"])), key_columns=["v"])
+
+
+@pytest.mark.parametrize("case_sensitive", [False, True])
+def test_names_are_what_the_resolver_says(spark, case_sensitive):
+    """Names that only a fold in Python takes for one stay apart; those that Spark can't tell apart are found."""
+    spark.conf.set("spark.sql.caseSensitive", str(case_sensitive).lower())
+    try:
+        df = spark.createDataFrame([("2", "1", "3")], ["i", "ı", "K"])
+        got = parser.parse_dataframe(df, contract(column("integer", "i", "a"), column("integer", "ı", "b")), key_columns=["i", "ı"]).parsed_df.first()
+        assert (got.a, got.b) == (2, 1)
+        upper = contract(column("integer", "k", "x"))
+        if case_sensitive:
+            with pytest.raises(SchemaValidationError, match="Missing source columns: 'k'"):
+                parser.parse_dataframe(df, upper, key_columns=["K"])
+            both = spark.createDataFrame([("2", "1")], ["v", "V"])
+            twice = parser.parse_dataframe(both, contract(column("integer", "v", "a"), column("integer", "V", "A")), key_columns=["v", "V"])
+            assert tuple(twice.parsed_df.first()) == (2, 1) and twice.key_columns == ("a", "A")
+        else:
+            assert parser.parse_dataframe(df, upper, key_columns=["k", "i"]).key_columns == ("x", "i")
+            doubled = spark.createDataFrame([("2", "1")], ["v", "V"])
+            with pytest.raises(SchemaValidationError, match="Ambiguous source columns: 'v'"):
+                parser.parse_dataframe(doubled, contract(column("integer", "v", "a")), key_columns=["v"])
+            with pytest.raises(SchemaValidationError, match="Duplicate key columns: 'K', 'k'"):
+                parser.parse_dataframe(df, upper, key_columns=["K", "k"])
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+@pytest.mark.parametrize(("keys", "said"), [(None, "required"), ([], "at least one"), (["v", ""], "non-empty"), ([None], "non-empty"), (["\ud800"], "well-formed")])
+def test_key_findings_come_first_with_the_others(spark, keys, said):
+    df = spark.createDataFrame([("1",)], "v string")
+    with pytest.raises(SchemaValidationError) as e:
+        parser.parse_dataframe(df, contract(column("integer"), column("integer", "gone", "G")), key_columns=keys)
+    assert said in e.value.errors[0] and any("gone" in x for x in e.value.errors[1:])
+    for odd in ("v", b"v", 5):
+        with pytest.raises(TypeError):
+            parser.parse_dataframe(df, contract(column("integer")), key_columns=odd)
+    assert parser.parse_dataframe(df, contract(column("integer")), key_columns=(k for k in ["v"])).key_columns == ("V",)
+
+
 def test_defaults_of_every_type(spark):
     df = spark.createDataFrame([(None,)], "v string")
     given = {"string": "x", "byte": 1, "short": 2, "integer": 3, "long": 4, "float": 1.5, "double": 2.5, "decimal(5,2)": 1.25, "binary": "SGk=", "boolean": True, "date": "1500-01-01", "timestamp": "2024-01-02T03:04:05+01:00", "timestamp_ntz": "2024-01-02T03:04:05.5"}
