@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import catalogues
 from .service import parser
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,6 +252,23 @@ def audit_records(spark, sf_dir):
     return flat.select("p_partkey", F.col("target_column_name").alias("target"), F.array_join("actions_applied", ",").alias("actions"), "changed")
 
 
+@query("""
+SELECT p_partkey, 'size' AS target, true AS effective, CASE p_partkey % 6 WHEN 0 THEN 'Value could not be parsed as integer.' END AS error,
+  CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '0' WHEN 2 THEN NULL ELSE p_size::VARCHAR END AS parsed, 'true' AS nullable, 'null' AS "default", '["NA","N/A"]' AS markers FROM part
+UNION ALL SELECT p_partkey, 'lost', false, 'Source column is missing.', '1.50', 'false', '1.50', '["x"]' FROM part
+""")
+def audit_details(spark, sf_dir):
+    """Whether a value took effect, why not, what it became, and the options it was read with."""
+    columns = [
+        column("v", "size", "int", audit=True, null_markers=["NA", "N/A"], replace_null_markers=True),
+        column("gone", "lost", "decimal(5,2)", audit=True, is_nullable=False, default_on_null=1.5, null_markers=["x"], replace_null_markers=True),
+    ]
+    parsed = parser.parse_dataframe(_dirty_sizes(spark, sf_dir), contract(column("p_partkey", "p_partkey", "long"), *columns), key_columns=["p_partkey"], on_missing_source="warn")
+    flat = parsed.results_df.select("p_partkey", F.inline_outer("burnish_parse_results"))
+    told = [F.col("options")[k].alias(n) for k, n in (("is_nullable", "nullable"), ("default_on_null", "default"), ("null_markers", "markers"))]
+    return flat.select("p_partkey", F.col("target_column_name").alias("target"), "effective", "error", F.col("parsed_value").alias("parsed"), *told)
+
+
 _TITLE = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(w[1]) || w[2:]), {1})"
 
 
@@ -273,35 +291,160 @@ def format_zip(spark, sf_dir):
     return typed(df, "c_custkey", column("v", "zip", "string", format="zip"))
 
 
+def _quote(x) -> str:
+    return "NULL" if x is None else str(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'"
+
+
+def _picked(key: Column, values: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
+
+
+def _by_place(key: str, values: list, cast: str) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {_quote(v)}" for i, v in enumerate(values)) + f" END::{cast}"
+
+
 #: For each profile, bronze values and what they become (None: not accepted).
 GOLDEN = {
-    "state_us": [("Illinois", "IL"), ("Ill.", "IL"), ("Washington, D.C.", "DC"), ("Illinois, tx", "IL, TX"), ("Mul", None), ("puerto rico", "PR"), ("IL,", None)],
-    "county": [("mcclain COUNTY", "McClain County"), ("cook county.", "Cook County"), ("de witt", "De Witt County"), ("COUNTY", None)],
-    "address_us_v1": [("123 n main st apt 4b", "123 N Main St Apt 4B"), ("123 Center Street", "123 Center St"), ("Apt , 4b", "Apt 4B"), ("12 MCDONALD RD.", "12 McDonald Rd"), ("po box 12a", "PO Box 12A")],
-    "title_business_v1": [("fhlb semi-annual 2 yrs", "FHLB Semi-Annual 2-Years"), ("cmt-backed", "CMT-Backed"), ("RCF6M", "Rcf6m"), ("biweekly p&i", "Bi-Weekly P&I")],
-    "interest_rate_index_v1": [("SOFR Term - 12M", "SOFR Term 12-Month"), ("10Y CMT", "10-Year Constant Maturity Treasury (CMT)"), ("TSFR6M", "SOFR Term 6-Month"), ("XSOFR30", None), ("Treasury - 1 yr", "Treasury 1-Year")],
-    "property_type_v1": [("Warehouse-Mixed use", "Mixed Use - Warehouse"), ("sfr", "Single Family"), ("industrial / warehouse", "Industrial - Warehouse"), ("12 units", "Multifamily"), ("2-4 Unit", None)],
+    "title_business_v1": {
+        "fhlb semi-annual 2 yrs": "FHLB Semi-Annual 2-Years", "cmt-backed": "CMT-Backed", "RCF6M": "Rcf6m", "fhlb_code": "Fhlb_code",
+        "state-of-the-art": "State-Of-The-Art", "18 months": "18-Months", "2 years": "2-Years", "1.5 years": "1.5 Years", "1 year": "1 Year",
+        "semiannually": "Semi-Annual", "biweekly p&i": "Bi-Weekly P&I", "biannually_code": "Biannually_code", "a- b": "A- B", "ust (cmt)": "UST (CMT)",
+    },
+    "address_us_v1": {
+        "123 n main st apt 4b": "123 N Main St Apt 4B", "123 Center Street": "123 Center St", "Apt , 4b": "Apt 4B", "Apt #4b": "Apt #4B",
+        "1st o'brien avenue": "1st O'Brien Ave", "12 MCDONALD RD.": "12 McDonald Rd", "po box 12a": "PO Box 12A", "99 dekalb pkwy": "99 DeKalb Pkwy",
+        "5 smith-jones north": "5 Smith-Jones N", ",.": "",
+    },
+    "county": {"mcclain COUNTY": "McClain County", "cook county.": "Cook County", "de witt": "De Witt County", "COUNTY": None, "lake\u00a0County": "Lake County", "st. clair": "St Clair County"},
+    "state_us": {
+        "Illinois": "IL", "Ill.": "IL", "Washington, D.C.": "DC", "Illinois, tx": "IL, TX", "N. Mex.": "NM", "Mul": None, "IL,": None, "puerto rico": "PR",
+        "wa, washington , d.c": "WA, DC", "U.S. Virgin Islands": "VI", "": None,
+        "Illinois, ": None, "a,b": None, "Washington, D.C.,": None, "Washington, D.C., Ill.": "DC, IL", "tx,  Ohio": "TX, OH",
+    },
+    "interest_rate_index_v1": {
+        "SOFR Term - 12M": "SOFR Term 12-Month", "10Y CMT": "10-Year Constant Maturity Treasury (CMT)", "TSFR6M": "SOFR Term 6-Month", "SOFR - 30-Day": "SOFR 30-Day",
+        "Treasury - 1 yr": "Treasury 1-Year", "sofr avg - 30 days": "SOFR 30-Day Average", "XSOFR30": None, "prime": "Prime", "12 month libor": "12-Month LIBOR",
+        "libor - 1 year (daily)": "LIBOR 1-Year (Daily)", "SOFR Term 2M": None, "NAP": None, "RCF12M": "RCF 12-Month", "ameribor 1 week": "Ameribor 1-Week", "012M LIBOR": None,
+    },
+    "property_type_v1": {
+        "Warehouse-Mixed use": "Mixed Use - Warehouse", "sfr": "Single Family", "Condominimum": "Condominium", "industrial / warehouse": "Industrial - Warehouse",
+        "12 units": "Multifamily", "4 unit": "Four-Unit", "2-4 Unit": None, "mixed use": "Mixed Use", "Mixed-Use (Office)": "Mixed Use - Office",
+        "Mixed use - (Office) & (Retail)": "Mixed Use - (Office) & (retail)", "mixed use ((office))": "Mixed Use - Office", "Multi Family LIHTC mixed use": "Mixed Use - Multifamily - LIHTC",
+        "Apartment – Garden": "Apartment - Garden", "unmixed use": None, "pud - mixed use - retail": "Mixed Use - PUD - Retail",
+        "Condo Low Rise (<= 4 Stories; Single Unit)": "Condominium", "RE/Equipment": None,
+        "Mixed Use - ((A) (B))": "Mixed Use - (A) (b)", "Mixed Use - (A (B))": "Mixed Use - A (b)", "Mixed Use - (A))": "Mixed Use - (A))", "Mixed Use - ((A)": "Mixed Use - ((A)",
+        "Mixed Use - () - A": "Mixed Use - A", "Mixed Use - (( ))": "Mixed Use", "mixed use - ((école))": "Mixed Use - École", "Four–Unit": "Four-Unit", "Retail, Office": None,
+        "MIXED USE- MULTIFAMILY-Over 20": "Mixed Use - Multifamily - Over 20", "Mixed use - 24 UNIT": "Mixed Use - 24 Unit", "1": None, "Multi": None,
+    },
 }
+# Every spelling of the closed catalogues.
+GOLDEN["state_us"] |= catalogues.STATES
+GOLDEN["interest_rate_index_v1"] |= catalogues.INTEREST_RATES
+GOLDEN["property_type_v1"] |= catalogues.PROPERTY_TYPES
+GOLDEN["address_us_v1"] |= {f"1 x {given}": f"1 X {made}" for table_ in (catalogues.DIRECTIONALS, catalogues.UNITS, catalogues.SUFFIXES) for given, made in table_.items()}
 
 
 def _golden(profile: str) -> None:
     pairs = GOLDEN[profile]
-    quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-    cases = " ".join(f"WHEN {i} THEN {quote(out)}" for i, (_, out) in enumerate(pairs))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        v = F.element_at(F.array(*[F.lit(x) for x, _ in pairs]), (F.col("s_suppkey") % len(pairs) + 1).cast("int"))
-        df = table(spark, sf_dir, "supplier").select(_text("s_suppkey").alias("s_suppkey"), v.alias("v"))
-        return typed(df, "s_suppkey", column("v", "value", "string", format=profile))
+        df = table(spark, sf_dir, "part").select(_text("p_partkey").alias("p_partkey"), _picked(F.col("p_partkey"), list(pairs)).alias("v"))
+        return typed(df, "p_partkey", column("v", "value", "string", format=profile))
 
     QUERIES[f"format_{profile}"] = run
-    SQL[f"format_{profile}"] = f"SELECT s_suppkey, CASE s_suppkey % {len(pairs)} {cases} END AS value FROM supplier"
+    SQL[f"format_{profile}"] = f"SELECT p_partkey, {_by_place('p_partkey', list(pairs.values()), 'VARCHAR')} AS value FROM part"
 
 
 for _profile in GOLDEN:
     _golden(_profile)
 
 
+@query("""
+SELECT o_orderkey, o_orderstatus = 'F' AS replaced, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus = 'F' END AS extended FROM orders
+WHERE o_orderstatus <> 'P'
+UNION ALL SELECT o_orderkey, NULL, true FROM orders WHERE o_orderstatus = 'P'
+""")
+def parse_boolean_lists(spark, sf_dir):
+    """A column's own tokens in place of the global ones, and beside them."""
+    df = table(spark, sf_dir, "orders").select(_text("o_orderkey").alias("o_orderkey"), F.lower("o_orderstatus").alias("v"))
+    own = column("v", "replaced", "boolean", true_values=["F"], false_values=["O"])
+    more = column("v", "extended", "boolean", true_values=["F"], false_values=["O"], boolean_values_mode="extend")
+    return typed(df, "o_orderkey", own, more, globals_={"true_values": ["P"], "false_values": ["Q"]})
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 < 2 THEN strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_id % 4 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:00') END AS "at" FROM events
+""")
+def parse_offsets_and_patterns(spark, sf_dir):
+    """A date whose offset must be legal though only its day counts, and instants by a pattern of the author's."""
+    offset = F.when(F.col("event_id") % 3 == 0, "-05:00").when(F.col("event_id") % 3 == 1, "Z").otherwise("+18:30")
+    custom = F.concat(F.date_format("ts", "dd/yyyy/MM HH'h'mm"), F.when(F.col("event_id") % 4 == 0, "x").otherwise(""))
+    df = table(spark, sf_dir, "events").select(_text("event_id").alias("event_id"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), offset).alias("o"), custom.alias("c"))
+    day, at = column("o", "day", "date", formats=["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"]), column("c", "at", "timestamp", formats=["dd/yyyy/MM HH'h'mm"])
+    return typed(df, "event_id", day, at).select("event_id", _text("day").alias("day"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '1999-12-31' ELSE '2024-02-29' END AS day, CASE WHEN c_custkey % 2 = 0 THEN '2000-01-01 00:00:00' ELSE '2024-02-29 01:02:03' END AS "at",
+  CASE WHEN c_custkey % 2 = 0 THEN '2000-01-01 10:00:00' ELSE '2024-02-29 01:02:03' END AS instant, CASE WHEN c_custkey % 2 = 0 THEN '-1.50' ELSE '7.25' END AS amount,
+  CASE WHEN c_custkey % 2 = 0 THEN '4869' ELSE '00' END AS bytes FROM customer
+""")
+def typed_defaults(spark, sf_dir):
+    """Defaults of dates, times, decimals and bytes, where every other value is missing."""
+    odd = F.col("c_custkey") % 2 == 1
+    given = {"d": "2024-02-29", "t": "2024-02-29 01:02:03", "n": "7.25", "b": "AA=="}
+    df = table(spark, sf_dir, "customer").select(_text("c_custkey").alias("c_custkey"), *[F.when(odd, v).otherwise("").alias(k) for k, v in given.items()])
+    default = lambda v: {"is_nullable": False, "default_on_null": v}
+    out = typed(
+        df, "c_custkey", column("d", "day", "date", **default("1999-12-31")), column("t", "at", "timestamp_ntz", **default("2000-01-01T00:00:00")),
+        column("t", "instant", "timestamp", **default("2000-01-01T10:00:00Z")), column("n", "amount", "decimal(9,2)", **default(-1.5)), column("b", "bytes", "binary", **default("SGk=")),
+    )
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    instant = F.when(F.col("c_custkey") % 2 == 1, F.date_format("instant", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(F.to_utc_timestamp("instant", F.current_timezone()), "yyyy-MM-dd HH:mm:ss"))
+    return out.select("c_custkey", _text("day").alias("day"), shown("at"), instant.alias("instant"), _text("amount").alias("amount"), F.hex("bytes").alias("bytes"))
+
+
+#: Text of a number, and what it becomes as float, decimal(4,1) and integer (None: a parse error).
+NUMBERS = [
+    ("1.25", 1.25, "1.3", None), ("-0.5", -0.5, "-0.5", None), ("007", 7.0, "7.0", 7), ("+8.", 8.0, "8.0", 8), (".5", 0.5, "0.5", None), ("1e2", 100.0, "100.0", None), ("999.94", None, "999.9", None),
+    ("999.95", None, None, None), ("12345", 12345.0, None, 12345), ("1d", None, None, None), ("1f", None, None, None), ("0x1p3", None, None, None), (".", None, None, None), ("+.", None, None, None),
+    (".e2", None, None, None), ("NaN", None, None, None), ("Infinity", None, None, None), ("1,000", None, None, None), ("١٢", None, None, None), ("1e39", None, None, None), ("1e-60", None, "0.0", None),
+    ("0e-10000", 0.0, "0.0", None), ("--1", None, None, None), ("1 2", None, None, None), ("2147483648", 2147483648.0, None, None),
+]
+
+
+@query(f"""
+SELECT p_partkey, {_by_place("p_partkey", [None if t.startswith("999") else f for t, f, _, _ in NUMBERS], "DOUBLE")} AS as_float,
+  {_by_place("p_partkey", [d for _, _, d, _ in NUMBERS], "VARCHAR")} AS as_decimal, {_by_place("p_partkey", [i for _, _, _, i in NUMBERS], "INTEGER")} AS as_integer FROM part
+""")
+def parse_number_grammar(spark, sf_dir):
+    """Every shape of number text, taken or not; floats near a thousand are left out, as they have no short decimal text."""
+    df = table(spark, sf_dir, "part").select(_text("p_partkey").alias("p_partkey"), _picked(F.col("p_partkey"), [t for t, *_ in NUMBERS]).alias("v"))
+    out = typed(df, "p_partkey", column("v", "as_float", "float"), column("v", "as_decimal", "decimal(4,1)"), column("v", "as_integer", "int"))
+    near = F.col("as_float").between(999, 1000)
+    return out.select("p_partkey", F.when(~near, F.col("as_float").cast("double")).alias("as_float"), _text("as_decimal").alias("as_decimal"), "as_integer")
+
+
+#: Hexadecimal text and base64 text, and the bytes they stand for.
+HEXES = [("4A6f", "4A6F"), ("F", "0F"), ("ABC", "0ABC"), ("", ""), ("GG", None), ("0x41", None), ("4 1", None)]
+BASES = [("SGk=", "4869"), ("SGk", None), ("SG k=", None), ("SGk-", None), ("", ""), ("AA==", "00"), ("====", None)]
+
+
+@query(f"SELECT s_suppkey, {_by_place('s_suppkey', [b for _, b in HEXES], 'VARCHAR')} AS hexed, {_by_place('s_suppkey', [b for _, b in BASES], 'VARCHAR')} AS based FROM supplier")
+def parse_binary_grammar(spark, sf_dir):
+    key = F.col("s_suppkey")
+    df = table(spark, sf_dir, "supplier").select(_text("s_suppkey").alias("s_suppkey"), _picked(key, [h for h, _ in HEXES]).alias("h"), _picked(key, [b for b, _ in BASES]).alias("b"))
+    out = typed(df, "s_suppkey", column("h", "hexed", "binary", encoding="hex", empty_is_null=False), column("b", "based", "binary", empty_is_null=False))
+    return out.select("s_suppkey", F.hex("hexed").alias("hexed"), F.hex("based").alias("based"))
+
+
+@query("SELECT n_nationkey, n_name AS \"a.b`c\", upper(n_name) AS \" Up \" FROM nation")
+def odd_names(spark, sf_dir):
+    """Names with dots, backticks and spaces are literal."""
+    df = table(spark, sf_dir, "nation").select(_text("n_nationkey").alias("n_nationkey"), F.col("n_name").alias("a.b`c"))
+    return typed(df, "n_nationkey", column("a.b`c", "a.b`c", "string"), column("a.b`c", " Up ", "string", format="upper"))
+
+
 @query("SELECT s_suppkey, NULL::INTEGER AS gone, 'x' AS filled FROM supplier")
 def missing_source(spark, sf_dir):
     df = table(spark, sf_dir, "supplier").select(_text("s_suppkey").alias("s_suppkey"))

@@ -5,49 +5,18 @@ from pyspark.sql import functions as F
 
 from burnish.contract.vocabulary import StringFormat
 from burnish.functions.profiles import apply_format
+from burnish.queries import GOLDEN as GOLDEN_OF_QUERIES
 
-NBSP = " "
 GOLDEN = {
     "lower": {"ACTIVE Loan": "active loan"},
     "upper": {"active": "ACTIVE"},
     "title": {"loan STATUS": "Loan Status", "o'brien smith-jones": "O'brien Smith-jones", "a/b (c)": "A/b (c)"},
     "pascal": {"loan status": "LoanStatus"},
-    "title_business_v1": {
-        "fhlb semi-annual 2 yrs": "FHLB Semi-Annual 2-Years", "cmt-backed": "CMT-Backed", "RCF6M": "Rcf6m", "fhlb_code": "Fhlb_code",
-        "state-of-the-art": "State-Of-The-Art", "18 months": "18-Months", "2 years": "2-Years", "1.5 years": "1.5 Years", "1 year": "1 Year",
-        "semiannually": "Semi-Annual", "biweekly p&i": "Bi-Weekly P&I", "biannually_code": "Biannually_code", "a- b": "A- B", "ust (cmt)": "UST (CMT)",
-    },
-    "address_us_v1": {
-        "123 n main st apt 4b": "123 N Main St Apt 4B", "123 Center Street": "123 Center St", "Apt , 4b": "Apt 4B", "Apt #4b": "Apt #4B",
-        "1st o'brien avenue": "1st O'Brien Ave", "12 MCDONALD RD.": "12 McDonald Rd", "po box 12a": "PO Box 12A", "99 dekalb pkwy": "99 DeKalb Pkwy",
-        "5 smith-jones north": "5 Smith-Jones N", ",.": "",
-    },
-    "county": {"mcclain COUNTY": "McClain County", "cook county.": "Cook County", "de witt": "De Witt County", "COUNTY": None, f"lake{NBSP}County": "Lake County", "st. clair": "St Clair County"},
-    "state_us": {
-        "Illinois": "IL", "Ill.": "IL", "Washington, D.C.": "DC", "Illinois, tx": "IL, TX", "N. Mex.": "NM", "Mul": None, "IL,": None, "puerto rico": "PR",
-        "wa, washington , d.c": "WA, DC", "U.S. Virgin Islands": "VI", "": None,
-        "Illinois, ": None, "a,b": None, "Washington, D.C.,": None, "Washington, D.C., Ill.": "DC, IL", "tx,  Ohio": "TX, OH",
-    },
     "zip": {
         "1234": "01234", "123456789": "12345-6789", "123-45": "00123-0045", "123456": None, "1234, 67890": "01234, 67890", "12 345": "12345", "12a": None,
         "1,,2": None, "1-2-3": None,
     },
-    "interest_rate_index_v1": {
-        "SOFR Term - 12M": "SOFR Term 12-Month", "10Y CMT": "10-Year Constant Maturity Treasury (CMT)", "TSFR6M": "SOFR Term 6-Month", "SOFR - 30-Day": "SOFR 30-Day",
-        "Treasury - 1 yr": "Treasury 1-Year", "sofr avg - 30 days": "SOFR 30-Day Average", "XSOFR30": None, "prime": "Prime", "12 month libor": "12-Month LIBOR",
-        "libor - 1 year (daily)": "LIBOR 1-Year (Daily)", "SOFR Term 2M": None, "NAP": None, "RCF12M": "RCF 12-Month", "ameribor 1 week": "Ameribor 1-Week", "012M LIBOR": None,
-    },
-    "property_type_v1": {
-        "Warehouse-Mixed use": "Mixed Use - Warehouse", "sfr": "Single Family", "Condominimum": "Condominium", "industrial / warehouse": "Industrial - Warehouse",
-        "12 units": "Multifamily", "4 unit": "Four-Unit", "2-4 Unit": None, "mixed use": "Mixed Use", "Mixed-Use (Office)": "Mixed Use - Office",
-        "Mixed use - (Office) & (Retail)": "Mixed Use - (Office) & (retail)", "mixed use ((office))": "Mixed Use - Office", "Multi Family LIHTC mixed use": "Mixed Use - Multifamily - LIHTC",
-        "Apartment – Garden": "Apartment - Garden", "unmixed use": None, "pud - mixed use - retail": "Mixed Use - PUD - Retail",
-        "Condo Low Rise (<= 4 Stories; Single Unit)": "Condominium", "RE/Equipment": None,
-        "Mixed Use - ((A) (B))": "Mixed Use - (A) (b)", "Mixed Use - (A (B))": "Mixed Use - A (b)", "Mixed Use - (A))": "Mixed Use - (A))", "Mixed Use - ((A)": "Mixed Use - ((A)",
-        "Mixed Use - () - A": "Mixed Use - A", "Mixed Use - (( ))": "Mixed Use", "mixed use - ((école))": "Mixed Use - École", "Four–Unit": "Four-Unit", "Retail, Office": None,
-        "MIXED USE- MULTIFAMILY-Over 20": "Mixed Use - Multifamily - Over 20", "Mixed use - 24 UNIT": "Mixed Use - 24 Unit", "1": None, "Multi": None,
-    },
-}
+} | GOLDEN_OF_QUERIES
 
 
 @pytest.mark.parametrize("name", GOLDEN)
