@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from burnish.llm import chat_format, common, decontaminate, html_text, language_id, lm_scoring, mixing, token_output, url_filter, vector_topk
+from burnish.llm import chat_format, common, decontaminate, html_text, language_id, lm_scoring, mixing, near_copies, simhash, token_output, url_filter, vector_topk
+from burnish.llm import lattice as lattice_module
 from burnish.llm.lattice import MARK, Lattice, load_pieces
 from burnish.llm.queries import id_remainder, public_path
 
@@ -96,6 +98,58 @@ def test_lm_scores(spark):
     assert len(untrained) == len(rows) and all(math.isfinite(r.score) for r in untrained)
 
 
+def plain_model(texts, pieces, byte_ids, model):
+    """log10 P of a word and of the end by the formula, from the piece scores of a fitted model."""
+    counts = Counter(w.decode() for t in texts for w in words(t))
+    n1, n2 = (sum(c == k for c in counts.values()) for k in (1, 2))
+    total, discount = sum(counts.values()) + len(texts), (n1 + 0.5) / (n1 + 2 * n2 + 1)
+    left = discount * (len(counts) + 1) / total
+    worth = lambda w: math.log10(max(counts[w] - discount, 0) / total + left * math.exp(plain_forward(pieces, byte_ids, w, model.logp) + model.word_end))
+    return worth, math.log10((len(texts) - discount) / total)
+
+
+@pytest.mark.parametrize("texts", [["the cat sat"], [None], ["a a", "a", "b " + "z" * 90, "z" * 90, "é é ß"], WILD[:5] + WILD[6:]])
+def test_lm_score_is_the_sum_over_the_lattice(spark, texts):
+    pieces, byte_ids = load_pieces(MODEL)
+    df = spark.createDataFrame(list(enumerate([*texts, "never seen", "z" * 91])), "doc_id long, text string")
+    model = lm_scoring.fit(df, F.col("doc_id") < len(texts), MODEL)
+    worth, end = plain_model(texts, pieces, byte_ids, model)
+    for hot in (lm_scoring.HOT_WORDS, 0):
+        for r in lm_scoring.score(df, model, hot=hot).join(df, "doc_id").collect():
+            assert r.score == pytest.approx(sum(worth(w.decode()) for w in words(r.text)) + end, abs=1e-6)
+
+
+def spellings(piece_ids, word):
+    """All segmentations of a marked word into pieces."""
+    if not word:
+        return [[]]
+    return [[piece_ids[word[:k]], *rest] for k in range(1, len(word) + 1) if word[:k] in piece_ids for rest in spellings(piece_ids, word[k:])]
+
+
+def test_lm_piece_scores_are_those_of_all_segmentations(spark):
+    pieces, _ = load_pieces(MODEL)
+    piece_ids = {p: i for i, p in enumerate(pieces) if p}
+    seen = ["the", "nation", "antics", "aaaa"]
+    df = spark.createDataFrame([(0, " ".join(seen)), (1, "the the")], "doc_id long, text string")
+    total = np.zeros(len(pieces))
+    for w in seen:
+        marked = MARK + w
+        for i in range(len(marked)):
+            for j in range(i + 1, len(marked) + 1):
+                if marked[i:j] in piece_ids:
+                    total[piece_ids[marked[i:j]]] += 1
+    logp = np.log((total + 0.1) / (total.sum() + len(seen) + 0.1 * (len(pieces) + 1)))
+    for passes in (1, 2):
+        total = np.zeros(len(pieces))
+        for w in seen:
+            ways = spellings(piece_ids, MARK + w)
+            worth = np.exp([logp[way].sum() for way in ways])
+            for way, share in zip(ways, worth / worth.sum(), strict=True):
+                np.add.at(total, way, share)
+        logp = np.log((total + 0.1) / (total.sum() + len(seen) + 0.1 * (len(pieces) + 1)))
+        assert np.allclose(lm_scoring.fit(df, F.lit(True), MODEL, passes=passes).logp, logp)
+
+
 def test_lm_probabilities_of_words_sum_below_one(spark):
     df = docs(spark, ["a b", "a a", "b"])
     model = lm_scoring.fit(df, F.lit(True), MODEL)
@@ -223,6 +277,62 @@ def test_html(spark):
     assert html_text.extract(df.filter("false")).collect() == []
 
 
+P = "<p>" + "word " * 40 + "end.</p>"
+LONG = ("word " * 40 + "end.").strip()
+MENU = "<nav>" + "<a href=x>Menu</a><br>" * 5 + "</nav>"
+
+
+@pytest.mark.parametrize(("page", "wanted"), [
+    (f'<article>{P}<p class="related">Rel par</p><p id="legal">Legal par</p><p><a href=x>all of it a link</a></p><div class="ad">buy</div>{MENU}<p>Short.</p></article>', f"{LONG} Rel par Legal par all of it a link Short."),
+    (f"<div id=content>{P}{MENU}<p>Short end.</p></div>", f"{LONG} Short end."),
+    (f"{MENU}<article><h1>T</h1>{P}</article><article><h3>Teaser</h3><p>More</p></article>{MENU}<div>Elsewhere</div>", f"T {LONG}"),
+    (f"<main><h1>Title</h1><article>{P}</article></main>", f"Title {LONG}"),
+    (f"{P}{MENU}<div>Far away</div>", LONG),
+    (f"<article><h3>Card</h3></article>{MENU}<div>{P}{P}</div>", f"{LONG} {LONG}"),
+    ("<svg/><p>after</p>", "after"), ("<svg><text>no</text></svg><p>yes</p>", "yes"), ("<head><title>t</title><p>body</p>", "body"), ("<script>x", ""),
+    ("<p>&#99999999999999999999; &#x41;&amp;lt;</p>", "\ufffd A&lt;"), ("<p>&#" + "1" * 9000 + ";x</p>", "\ufffdx"), ("<b>a<i>b</b>c", "abc"), ("a < b <c", "a < b <c"), ('<a "x>y</a>zzz', "yzzz"), ("<a>y</a>", ""),
+])
+def test_html_lines_are_weighed(page, wanted):
+    assert html_text.main_text(page) == wanted
+
+
+def plain_stretches(counts, window, surge):
+    sums = [sum(counts[i : i + window]) for i in range(len(counts))]
+    least = max(1, min(surge, max(sums, default=0)))
+    found, i = [], 0
+    while i < len(sums):
+        j = i
+        while j < len(sums) and sums[j]:
+            j += 1
+        if j > i and max(sums[i:j]) >= least:
+            found.append((i, j))
+        i = max(j, i + 1)
+    return found
+
+
+def test_html_surges_and_dives():
+    rnd = random.Random(4)
+    for _ in range(500):
+        counts = [rnd.choice([0, 0, 0, rnd.randrange(1, 60)]) for _ in range(rnd.randrange(40))]
+        window, surge = rnd.randrange(1, 6), rnd.choice([0, 1, 40, 80, 10_000])
+        assert html_text.stretches(counts, window, surge) == plain_stretches(counts, window, surge)
+
+
+def test_html_windows_decide():
+    """Without windows or surges other text comes out, on marked pages too."""
+    marked = f"<article>{P}</article><article><p>Teaser</p></article>"
+    assert html_text.main_text(marked) == LONG != html_text.main_text(marked, surge=0) == f"{LONG} Teaser"
+    spaced = f"<div>{P}</div><nav><p>1</p><p>2</p></nav><div>Near</div>"
+    assert html_text.main_text(spaced) == f"{LONG} Near" != html_text.main_text(spaced, window=1) == LONG
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</b>" * 40_000, "<head>" * 400_000, "<!" * 2_000_000, '<a "' * 1_000_000 + '">', "<a '\">" * 700_000, "<div " + "a" * 4_000_000 + ">", "<" * 4_000_000, "<b x='\">" * 500_000, ("<script>" + "</style>") * 250_000, "<p " + " " * 4_000_000 + "x>"])
+def test_html_hostile_pages_take_seconds(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
 # ---- op5 ----
 
 
@@ -264,6 +374,44 @@ def test_mixing(spark):
     assert {round(x.p_clean, 6) for x in mixing.rate(df, known.filter("false")).collect()} == {0.333333}
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_mixing_reaches_its_targets_at_every_scale(spark, sf):
+    source, known = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    told = known.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    rows = mixing.rate(source, known).join(told, "doc_id", "left").collect()
+    p = np.array([[r.p_clean, r.p_low, r.p_toxic] for r in rows])
+    n, r_ = np.array([r.n_tokens for r in rows]), np.array([r.rate for r in rows])
+    assert len(rows) == source.count() and len(np.unique(p.round(6), axis=0)) > len(rows) // 3
+    assert np.allclose((p * (n * r_)[:, None]).sum(axis=0) / n.sum(), [0.85, 0.10, 0.05], atol=0.005)
+    y = np.array([-1 if r.t is None else 2 if r.t else 1 - r.q for r in rows])
+    assert (p.argmax(axis=1)[y >= 0] == y[y >= 0]).mean() > (y[y >= 0] == 0).mean() + 0.05
+
+
+def test_mixing_says_what_it_cannot_reach(spark):
+    df = spark.createDataFrame([(i, f"word{i} other") for i in range(20)], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="off their target"):
+        rows = mixing.rate(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert len(rows) == 20
+
+
+CLASHES = [f"{p}_{c}" for p in ("_leak", "_mix", "_copies", "_simhash", "__leak", "__mix") for c in ("h", "g", "copies")] + ["h", "g", "id", "key", "fp", "ws", "b", "times", "len", "at", "rid", "domain", "n", "bands", "_simhash_content_of", "_leak_key", "_mix_words"]
+
+
+@pytest.mark.parametrize("keep", [
+    lambda df, bench, labels: decontaminate.clean(df, bench), lambda df, bench, labels: mixing.mixed(df, labels),
+    lambda df, bench, labels: near_copies.representatives(df), lambda df, bench, labels: simhash.representatives(df),
+], ids=["clean", "mixed", "near_copies", "simhash"])
+def test_stages_keep_columns_whatever_their_names(spark, keep):
+    plain = [(i, f"text number {i} of some with words {i * 7} and {i * 13}") for i in range(12)] + [(None, "no id here"), (50, None)]
+    df = spark.createDataFrame(plain, "doc_id long, text string").select("doc_id", "text", *[F.concat(F.lit(c), F.col("text")).alias(c) for c in CLASHES])
+    bench = spark.createDataFrame([("x", "text number 3 of some with words 21")], "item_id string, text string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(12)], "doc_id long, quality int, toxic int")
+    got = keep(df, bench, labels)
+    assert got.columns == df.columns
+    rows, given = got.collect(), set(map(tuple, df.collect()))
+    assert rows and set(map(tuple, rows)) <= given
+
+
 # ---- op6 ----
 
 
@@ -283,6 +431,31 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(odd, blank).collect()} == {"und"}
 
 
+def test_language_posteriors_are_sums_over_segmentations(spark):
+    pieces, byte_ids = load_pieces(MODEL)
+    given = [("en", "the nation and the people of it"), ("en", "an article of the house"), ("de", "der und die das nicht"), ("de", "eine straße für alle"), ("fr", "le et la de une maison"), (None, "nobody knows")]
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(given * 3)], "doc_id long, lang string, text string")
+    model = language_id.fit(df, F.lit(True), MODEL)
+    asked = ["the house", "Straße die", "une nation", "日本 \U0001f600x", "maison maison 12", "z" * 70]
+    told = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(asked):
+        worth = [p + sum(plain_forward(pieces, byte_ids, w.decode(), model.logp[:, m]) for w in words(text)) for m, p in enumerate(model.prior)]
+        posterior = np.exp(np.array(worth) - np.logaddexp.reduce(worth))
+        assert told[i].lang_pred == model.languages[posterior.argmax()] and told[i].score == pytest.approx(posterior.max())
+    assert model.languages == ["de", "en", "fr"] and np.allclose(np.exp(model.prior), [6 / 15, 6 / 15, 3 / 15])
+
+
+def test_remembered_words_are_worth_the_same(lattice, monkeypatch):
+    monkeypatch.setattr(lattice_module.Remembered, "KEPT", 40)
+    rnd = np.random.default_rng(3)
+    logp = np.log(rnd.dirichlet(np.ones(lattice.size), size=2).T)
+    remembered = lattice_module.Remembered(lattice, logp)
+    for _ in range(12):
+        some = sorted({f"w{rnd.integers(60)}" for _ in range(30)} | {"y" * 80})
+        assert np.allclose(remembered(pa.array(some, pa.large_string())), lattice.log_probability(some, logp))
+        assert len(remembered.words) <= 40 and len(remembered.words) == len(remembered.worth) == len(remembered.hits)
+
+
 # ---- op7 ----
 
 
