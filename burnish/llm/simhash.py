@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_slices, content_key, materialise, quoted, string_array, tidied, unused
+from .common import bounded_slices, content_key, materialise, quoted, sized, string_array, tidied, unused
 
 SEED = 42
 DIFFERING = 2
@@ -86,9 +86,9 @@ def _neighbours(fp: Column) -> Column:
 def links(fps: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that between them connect all that link."""
     indexed = fps.select("fp", F.explode(_signatures(F.col("fp"))).alias("sig"))
-    # One shuffle of the index: a signature of one fingerprint only is dropped where it arrives.
-    sharing = F.count("*").over(Window.partitionBy("sig"))
-    shared = materialise(indexed.withColumn("n", sharing).filter("n > 1"), "simhash-shared")
+    # Signatures are counted in the scan first, so a frequent one is in no one task; few are shared, and these alone meet.
+    counted = materialise(indexed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-signatures")
+    shared = materialise(indexed.join(sized(counted), "sig"), "simhash-shared")
     met = shared.filter(F.col("n") <= crowd).groupBy("sig").agg(F.sort_array(F.collect_list("fp")).alias("members"))
     # Pairs are verified in the array, and a pair with an equal segment counts under the segment's first signature alone.
     pairs = F.expr(f"""
