@@ -212,7 +212,7 @@ class Lattice:
 class Remembered:
     """Log probabilities of words under fixed piece scores; those of words met before are kept, KEPT words at most."""
 
-    KEPT, KEPT_BYTES = 300_000, 64
+    KEPT, KEPT_BYTES = 150_000, 64
 
     def __init__(self, lattice: Lattice, logp: np.ndarray):
         self.lattice, self.logp = lattice, logp
