@@ -80,7 +80,9 @@ class Names:
 
     def among(self, names: Sequence[str]) -> list[str]:
         """Those of the names that stand for a column here, or for several."""
-        if not names or not self.df.columns:
+        held = self.df.columns
+        # drop() passes over names that are not there, and takes any that a projection would: mostly this is all to ask.
+        if not names or not held or len(self.df.drop(*names).columns) == len(held):
             return []
         one, many, _ = self.find(names)
         return [n for n in names if n in one or n in many]
@@ -243,11 +245,12 @@ def _keys(spark: SparkSession, config: ParserConfig, key_columns: Sequence[str],
         findings.append(f"Ambiguous key columns: {_listed(many)}.")
     if findings:
         return [], findings
-    sources = list(dict.fromkeys(c.source_column_name for c in config.columns))
+    configured = Names.of(spark, dict.fromkeys(c.source_column_name for c in config.columns))
+    # A key that stands for several sources, one column by several names, passes through.
+    told, _, _ = configured.find([k for k in key_columns if configured.among([k])])
     keys = []
     for k in key_columns:
-        same = set(sources) & {k} or set(Names.of(spark, [k]).among(sources))
-        feeds = [i for i, c in enumerate(config.columns) if c.source_column_name in same]
+        feeds = [i for i, c in enumerate(config.columns) if k in told and c.source_column_name == told[k].name]
         keys.append(Key(k, config.columns[feeds[0]].target_column_name, feeds[0]) if len(feeds) == 1 else Key(k, k, None))
     findings += [f"Key columns have one name in the results: {_listed(g)}." for g in _alike(spark, [k.output for k in keys])]
     passed = [k.column for k in keys if k.target is None]

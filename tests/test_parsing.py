@@ -240,6 +240,8 @@ def test_names_are_what_the_resolver_says(spark, case_sensitive):
             assert tuple(twice.parsed_df.first()) == (2, 1) and twice.key_columns == ("a", "A")
         else:
             assert parser.parse_dataframe(df, upper, key_columns=["k", "i"]).key_columns == ("x", "i")
+            several = parser.parse_dataframe(df, contract(column("integer", "k", "x"), column("string", "K", "y")), key_columns=["K", "i"])
+            assert several.key_columns == ("K", "i") and several.results_df.first().K == "3"
             doubled = spark.createDataFrame([("2", "1")], ["v", "V"])
             with pytest.raises(SchemaValidationError, match="Ambiguous source columns: 'v'"):
                 parser.parse_dataframe(doubled, contract(column("integer", "v", "a")), key_columns=["v"])
