@@ -62,7 +62,8 @@ def test_lattice_sums_all_segmentations(lattice):
     got = lattice.log_probability(some, logp)
     for m in range(2):
         assert np.allclose(got[:, m], [plain_forward(pieces, byte_ids, w, logp[:, m]) for w in some])
-    uses = lattice.expected(some, np.ones((len(some), 2)), logp)
+    uses, likely = lattice.expected(some, np.ones((len(some), 2)), logp)
+    assert np.allclose(likely, got.sum(axis=0))
     spelt = np.array([len((MARK + w)) for w in some]).sum()
     lengths = np.array([len(p) for p in pieces], dtype=float)
     for b in byte_ids:
