@@ -19,6 +19,8 @@ found whatever their length.  Nothing is sampled: counts and scores cover all ro
 Defined cases: a null or empty text has no words and one end token; a null id counts as the empty id; very long texts and
 words are scored whole; one training row is enough and without any, words are worth their spelling by equal pieces;
 repeated rows and repeated ids are scored row by row; an empty table gives an empty result; other columns are ignored.
+score() names rows by their place in their partition, so docs should be read from files or a written table, whose
+partitions come out the same when a lost task is run again.
 """
 
 from __future__ import annotations
