@@ -9,8 +9,9 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -141,10 +142,34 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run for mapInArrow; what a task has freed goes back to the system, as idle workers live on beside busy ones."""
+_memory: dict[Hashable, Any] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
+    """make(), kept for the next tasks of this worker process; what was kept under another key goes first.
+
+    A worker outlives its tasks and meets those of other operators, so it keeps one thing at a time.
+    """
+    if key not in _memory:
+        _memory.clear()
+        _memory[key] = make()
+    return _memory[key]
+
+
+def forget() -> None:
+    """Drop what remembered() keeps. A function of the module, as closures that are sent to workers take copies of globals."""
+    _memory.clear()
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *, remembers: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; what a task has freed goes back to the system, as idle workers live on beside busy ones.
+
+    Unless run asks for something remembered(), what the worker's tasks before it have kept goes first.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            forget()
         try:
             yield from run(batches)
         finally:

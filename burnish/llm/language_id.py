@@ -25,13 +25,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialise, string_array, tidied
+from .common import bounded_slices, materialise, remembered, string_array, tidied
 from .lattice import Lattice, Remembered, load_pieces
 from .lm_scoring import count_words, piece_totals, smoothed, words_of
 
 DOCS_PER_LANGUAGE = 1500
 EM_PASSES = 2
 UNKNOWN = "und"
+#: Bytes of text predicted at once; bounds a worker's memory.
+SLICE = 1 << 20
 
 
 @dataclass
@@ -63,16 +65,10 @@ def fit(docs: DataFrame, training: Column, model_path: str, *, lang_col: str = "
     return LanguageModel(languages, logp, prior, lattice)
 
 
-_KNOWN: dict[int, Remembered] = {}
-
-
 def _remembered(model: LanguageModel) -> Remembered:
     """One for each model and worker process, so that a task knows the words of those before it."""
-    key = hash((model.logp.tobytes(), tuple(model.languages)))
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = Remembered(model.lattice.value, model.logp)
-    return _KNOWN[key]
+    key = ("language ID", hash((model.logp.tobytes(), tuple(model.languages))))
+    return remembered(key, lambda: Remembered(model.lattice.value, model.logp))
 
 
 def _predict(model: LanguageModel, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +96,12 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*model.languages, UNKNOWN], pa.string())
         for batch in batches:
-            for part in bounded_slices(batch, "text"):
+            for part in bounded_slices(batch, "text", SLICE):
                 best, score = _predict(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), names.take(pa.array(best % len(names))), pa.array(score)], [id_col, "lang_pred", "score"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"`{id_col}` {id_type}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run, remembers=True), f"`{id_col}` {id_type}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -113,8 +109,8 @@ def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded_slices(batch, text_col):
+            for part in bounded_slices(batch, text_col, SLICE):
                 best, score = _predict(model, part.column(text_col))
                 yield part.filter(pa.array((best >= 0) & (score >= least)))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return docs.mapInArrow(tidied(run, remembers=True), docs.schema)

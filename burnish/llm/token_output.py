@@ -34,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialise, quoted, string_array, tidied
+from .common import bounded_slices, materialise, quoted, remembered, string_array, tidied
 
 MAGIC = b"EFT1"
 HEAD = struct.Struct("<4sBBHQQQQQ")
 SAMPLE = 64
 SHARD_IDS = 1 << 21
+#: Bytes of text encoded at once; bounds a worker's memory.
+SLICE = 1 << 21
 #: Documents read from a shard to a batch.
 READ = 4096
 SHARD_SCHEMA = "part int, seq int, base long, docs long, ids long, id_list binary, blob binary"
@@ -105,6 +107,8 @@ class Encoder:
 
     #: Words kept (of KEPT_BYTES at most), and words to a text.  Beyond KEPT those go that were not met again.
     KEPT, KEPT_BYTES, TOGETHER = 400_000, 64, 500
+    #: Texts of words for the library, and words whose ids are put in their places, at once.
+    TEXTS, PLACED = 16, 1 << 16
     SEPARATOR = "\x01"
 
     def __init__(self, tokenizer_json: str, end_id: int, lower: bool = True):
@@ -112,9 +116,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_str(tokenizer_json)
-        self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.encode_special_tokens = True  # words come lower-cased: what looks special there was not
         self.end_id, self.lower = end_id, lower
         found = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
@@ -147,8 +150,8 @@ class Encoder:
         plain = np.flatnonzero(~odd)
         listed = words.take(pa.array(plain)).to_pylist()
         texts = [f" {self.SEPARATOR} ".join(listed[i : i + self.TOGETHER]) + f" {self.SEPARATOR}" for i in range(0, len(listed), self.TOGETHER)]
-        for i in range(0, len(texts), 64):
-            ids += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
+        for i in range(0, len(texts), self.TEXTS):
+            ids += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + self.TEXTS], add_special_tokens=False)]
         flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
         cut = np.flatnonzero(flat == self.separator_id) if len(plain) else np.zeros(0, dtype=np.int64)
         lengths[plain] = np.diff(cut, prepend=-1) - 1
@@ -178,6 +181,7 @@ class Encoder:
         split = pc.ascii_split_whitespace(pc.ascii_lower(plain) if self.lower else plain)
         parent = pc.list_parent_indices(split).to_numpy()
         coded = pc.list_flatten(split).dictionary_encode()
+        del split, plain
         words, code = coded.dictionary, coded.indices.to_numpy()
         found = pc.fill_null(pc.index_in(words, self.kept_words), -1).to_numpy().astype(np.int64)
         self.kept_hits[found[found >= 0]] += 1
@@ -193,8 +197,10 @@ class Encoder:
         out = np.full(int(counts.sum()), self.end_id, dtype=np.uint32)
         # A word's ids go after all words before it and one end id for each text before its own.
         to = np.cumsum(per_word) - per_word
-        within = np.arange(int(per_word.sum()), dtype=np.int64)
-        out[within + np.repeat(parent.astype(np.int64), per_word)] = all_ids[within + np.repeat(start[place] - to, per_word)]
+        for i in range(0, len(place), self.PLACED):
+            some = slice(i, i + self.PLACED)
+            within = to[i] + np.arange(int(per_word[some].sum()), dtype=np.int64)
+            out[within + np.repeat(parent[some].astype(np.int64), per_word[some])] = all_ids[within + np.repeat(start[place[some]] - to[some], per_word[some])]
         self._keep(fresh, ids, length)
         return out, counts
 
@@ -202,22 +208,19 @@ class Encoder:
         """As __call__, where the marked texts are encoded whole."""
         ids, counts = self(pc.if_else(pa.array(whole), "", texts))
         parts = np.split(ids, np.cumsum(counts)[:-1])
-        for i in np.flatnonzero(whole).tolist():
-            found = self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids
-            parts[i] = np.array([*found, self.end_id], dtype=np.uint32)
+        self.tokenizer.encode_special_tokens = False
+        try:
+            for i in np.flatnonzero(whole).tolist():
+                found = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
+                parts[i] = np.array([*found, self.end_id], dtype=np.uint32)
+        finally:
+            self.tokenizer.encode_special_tokens = True
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
-_ENCODERS: dict[tuple[int, int], Encoder] = {}
-
-
 def _encoder(tokenizer_json: str, end_id: int) -> Encoder:
     """One for each tokenizer and worker process."""
-    key = (hash(tokenizer_json), end_id)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(tokenizer_json, end_id)
-    return _ENCODERS[key]
+    return remembered(("token output", hash(tokenizer_json), end_id), lambda: Encoder(tokenizer_json, end_id))
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -250,7 +253,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_co
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "base", "docs", "ids", "id_list", "blob"])
 
         for batch in batches:
-            for piece in bounded_slices(batch, "text"):
+            for piece in bounded_slices(batch, "text", SLICE):
                 ids, count = encoder(piece.column("text"))
                 end, start = np.cumsum(count), 0
                 while start < len(count):
@@ -269,7 +272,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_co
         if names:
             yield flush()
 
-    return materialise(placed.mapInArrow(tidied(run), SHARD_SCHEMA), "token-shards")
+    return materialise(placed.mapInArrow(tidied(run, remembers=True), SHARD_SCHEMA), "token-shards")
 
 
 def read_documents(shards: DataFrame, *, id_col: str = "doc_id", id_type: str = "bigint") -> DataFrame:

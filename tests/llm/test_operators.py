@@ -1,11 +1,13 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeats, no rows and clashing columns."""
 
+import gc
 import hashlib
 import math
 import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -500,6 +502,38 @@ def test_token_files_of_repeated_ids(spark):
     assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
 
 
+def test_encoder_memory_follows_its_ids():
+    """Beside its ids (4 bytes each) an encoder of words met before needs little; whole columns of 64-bit places took over 40."""
+    with open(public_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_output.Encoder(f.read(), 1)
+    text = pa.array([" ".join(["antidisestablishmentarianism"] * 70_000)] * 2)
+    first = encoder(text)
+    tracemalloc.start()
+    ids, counts = encoder(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(ids, first[0]) and ids[: counts[0] - 1].reshape(70_000, -1).std(axis=0).max() == 0 and ids[counts[0] - 1] == 1
+    assert len(ids) > 600_000 and peak < 25 * len(ids)
+
+
+def test_workers_keep_one_operators_words(spark):
+    """A worker that has met tasks of op7 and of the language ID does not keep what both remember."""
+    df = docs(spark).repartition(8).localCheckpoint()
+    model = language_id.fit(df, F.lit(True), MODEL)
+
+    def kept(batches):
+        found = sorted({type(x).__name__ for x in gc.get_objects() if isinstance(x, (token_output.Encoder, lattice_module.Remembered))})
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(found)])], ["found"])
+
+    told = []
+    for after in (lambda: token_output.write_shards(df, public_path("word_bpe_49k.json")), lambda: language_id.accepted(df, model).collect(), lambda: token_output.write_shards(df, public_path("word_bpe_49k.json"))):
+        after()
+        told += [r.found for r in df.mapInArrow(kept, "found string").collect()]
+    assert {"Encoder", "Remembered"} <= set(told) <= {"", "Encoder", "Remembered"}
+    assert {r.found for r in df.mapInArrow(common.tidied(kept), "found string").collect()} == {""}
+
+
 def test_encoder_without_lower_casing():
     with open(public_path("word_bpe_49k.json"), encoding="utf-8") as f:
         encoder = token_output.Encoder(f.read(), 1, lower=False)
